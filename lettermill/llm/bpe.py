@@ -126,28 +126,44 @@ def _matches(text: str, literal: regex.Pattern | None) -> Iterator[str]:
     yield from pattern.findall(text[at:])
 
 
-def _ids_batch(doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([doc_ids.cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema=IDS)
+def _text(ids: np.ndarray, coder: tiktoken.Encoding) -> str:
+    return coder.decode_bytes(ids.tolist()).decode("utf-8", "replace")
 
 
-def encode(docs: DataFrame, vocab_path: str, *, piece_chars: int = 32_768) -> DataFrame:
+def _coded_batch(doc_ids: pa.Array, ids: list[np.ndarray], coder: tiktoken.Encoding, with_text: bool) -> pa.RecordBatch:
+    columns = [doc_ids.cast(pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())]
+    if with_text:
+        columns.append(pa.array([_text(x, coder) for x in ids], pa.string()))
+    return pa.RecordBatch.from_arrays(columns, schema=pa.schema([*IDS, *([("text", pa.string())] if with_text else [])]))
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a task holds few ids and texts at a time."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
+def encode(docs: DataFrame, vocab_path: str, *, piece_chars: int = 32_768, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each whole text; special tokens in a text get their id.
 
-    The ids are those of the tokenizers library with ``add_special_tokens=False``. A null text counts as empty and has no
-    ids. Rows with a null or repeated doc_id each give a row. Only doc_id and text are read. No rows give no rows.
+    The ids are those of the tokenizers library with ``add_special_tokens=False``. ``with_text`` adds the text decoded from the
+    ids in the same task, as ``decode`` makes it. A null text counts as empty and has no ids. Rows with a null or repeated
+    doc_id each give a row. Only doc_id and text are read. No rows give no rows.
     """
     vocab = Vocabulary(vocab_path)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    ids_ddl = IDS_DDL + ", text string" * with_text
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.encoding()
-        for batch in batches:
-            yield _ids_batch(batch.column(0), [coder.encode_to_numpy(t, allowed_special="all") for t in batch.column(1).to_pylist()])
+        for batch in _small(batches):
+            yield _coded_batch(batch.column(0), [coder.encode_to_numpy(t, allowed_special="all") for t in batch.column(1).to_pylist()], coder, with_text)
 
     cut_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int64()), ("unsplit", pa.int64()), ("piece", pa.string())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches, 16):
             for d, h, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 made = list(cut(t, piece_chars, list(vocab.special)))
                 yield pa.RecordBatch.from_pylist([{"doc_id": d, "text_hash": h, "at": i, "unsplit": u, "piece": p} for i, (u, p) in enumerate(made)], schema=cut_schema)
@@ -156,35 +172,42 @@ def encode(docs: DataFrame, vocab_path: str, *, piece_chars: int = 32_768) -> Da
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.encoding()
-        for batch in batches:
+        for batch in _small(batches, 16):
             ids = [coder.encode_to_numpy(p, allowed_special="all") if u < 0 else np.array(coder._encode_single_piece(p), "<u4") for u, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema=coded_schema)
-
-    def joined(group: pa.Table) -> pa.Table:
-        coder, copies = vocab.encoding(), 0
-        parts: list[list[int]] = []
-        slices: list[list[int]] = []
-        rows = sorted(zip(group["at"].to_pylist(), group["unsplit"].to_pylist(), group["ids"].to_pylist()), key=lambda r: r[0])
-        copies = sum(1 for r in rows if r[0] == 0)
-        rows = rows[::copies]  # a repeated document gave every piece as often
-        for i, (_, unsplit, ids) in enumerate(rows):
-            ids = np.frombuffer(ids, "<u4").tolist()
-            if unsplit < 0:
-                parts.append(ids)
-                continue
-            slices.append(ids)
-            if i + 1 == len(rows) or rows[i + 1][1] != unsplit:
-                parts.append(tree(slices, coder))
-                slices = []
-        ids = np.concatenate([np.array(p, "<u4") for p in parts])
-        return pa.Table.from_batches([_ids_batch(group["doc_id"].combine_chunks().slice(0, 1), [ids])] * copies)
-
-    short = rows.filter(F.length("text") <= piece_chars).mapInArrow(whole, IDS_DDL)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema=coded_schema)
+
+    def joined(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = vocab.encoding()
+        for batch in groups:
+            out = []
+            for parts in batch.column(1).to_pylist():
+                copies = sum(1 for r in parts if r["at"] == 0)  # a repeated document gave every piece as often
+                out.append((copies, _joined(parts[::copies], coder)))
+            doc_ids = batch.column(0).take(pa.array([i for i, (n, _) in enumerate(out) for _ in range(n)], pa.int64()))
+            yield _coded_batch(doc_ids, [ids for n, ids in out for _ in range(n)], coder, with_text)
+
+    short = rows.filter(F.length("text") <= piece_chars).mapInArrow(whole, ids_ddl)
     long = rows.filter(F.length("text") > piece_chars).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     cuts = long.mapInArrow(pieces, "doc_id long, text_hash long, at long, unsplit long, piece string")
-    dealt = cuts.repartition("doc_id", "text_hash", "at")
-    parts = dealt.mapInArrow(coded, "doc_id long, text_hash long, at long, unsplit long, ids binary")
-    return short.unionAll(parts.groupBy("doc_id", "text_hash").applyInArrow(joined, IDS_DDL))
+    parts = cuts.repartition("doc_id", "text_hash", "at").mapInArrow(coded, "doc_id long, text_hash long, at long, unsplit long, ids binary")
+    gathered = parts.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("at", "unsplit", "ids"))).alias("parts"))  # one document
+    return short.unionAll(gathered.select("doc_id", "parts").mapInArrow(joined, ids_ddl))
+
+
+def _joined(parts: list[dict], coder: tiktoken.Encoding) -> np.ndarray:
+    """The ids of a document from those of its pieces in order."""
+    done: list[np.ndarray] = []
+    slices: list[list[int]] = []
+    for i, p in enumerate(parts):
+        ids = np.frombuffer(p["ids"], "<u4")
+        if p["unsplit"] < 0:
+            done.append(ids)
+            continue
+        slices.append(ids.tolist())
+        if i + 1 == len(parts) or parts[i + 1]["unsplit"] != p["unsplit"]:
+            done.append(np.array(tree(slices, coder), "<u4"))
+            slices = []
+    return np.concatenate(done)
 
 
 def decode(encoded: DataFrame, vocab_path: str, *carry: str) -> DataFrame:
@@ -195,8 +218,8 @@ def decode(encoded: DataFrame, vocab_path: str, *carry: str) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.encoding()
-        for batch in batches:
-            texts = [None if b is None else coder.decode_bytes(np.frombuffer(b, "<u4").tolist()).decode("utf-8", "replace") for b in binary(batch.column(1))]
+        for batch in _small(batches):
+            texts = [None if b is None else _text(np.frombuffer(b, "<u4"), coder) for b in binary(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=["doc_id", "text", *carry])
 
     ddl = ", ".join(["doc_id long", "text string", *(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields[2:])])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.llm.bpe import decode, encode
+from lettermill.llm.bpe import encode
 from lettermill.llm.line_dedup import line_dedup
 from lettermill.llm.near_dup import near_duplicates
 from lettermill.llm.quality_model import quality_scores
@@ -28,8 +28,7 @@ def vocabulary() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = encode(table(spark, sf_dir, "documents"), vocabulary())
-    texts = decode(ids, vocabulary(), "n_tokens", "ids")
+    texts = encode(table(spark, sf_dir, "documents"), vocabulary(), with_text=True)
     return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 
 
