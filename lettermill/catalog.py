@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+import lettermill.plans.message_queries  # noqa: F401
+from lettermill.plans.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "unreplied_inbound"
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = ORACLES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "Query"]
