@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import lettermill.plans.analysis_queries
 import lettermill.plans.contact_queries
 import lettermill.plans.message_queries  # noqa: F401
 from lettermill.plans.registry import ORACLES, QUERIES, Query
