@@ -1,8 +1,9 @@
 """Declared schemas of the archive tables; nothing is inferred."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
 
-_DDL = {
+#: Columns and types, as Spark's readers take them.
+SCHEMAS: dict[str, str] = {
     "emails": "id string, message_id string, thread_id string, source_account string, import_id string, subject string, sender_name string, sender_address string, sender_domain string, recipients struct<to:array<string>,cc:array<string>,bcc:array<string>>, date timestamp, body_text string, body_html string, has_attachment boolean, attachments array<struct<filename:string,content_type:string,size:bigint>>, labels array<string>, in_reply_to string, references array<string>, embedding array<float>, created_at timestamp",
     "email_accounts": "email_id string, source_account string, import_id string, first_seen_at timestamp",
     "imports": "id string, source_account string, source_file string, started_at timestamp, completed_at timestamp, messages_total int, messages_inserted int, messages_skipped int, status string",
@@ -18,9 +19,8 @@ _DDL = {
     "event_versions": "event_id string, version int, author string, title string, summary string",
     "event_claims": "event_id string, version int, position int, text string, status string, citations array<struct<source_id:string,source_type:string,excerpt:string,excerpt_hash:string>>",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _DDL.items()}
 
 
-def scan(spark, path: str, table: str):
+def scan(spark: SparkSession, path: str, table: str) -> DataFrame:
     """An archive table from Parquet with its declared schema."""
     return spark.read.schema(SCHEMAS[table]).parquet(path)
