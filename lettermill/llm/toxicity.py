@@ -63,10 +63,10 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(self.odds(at), -40, 40))))
 
 
-def fit_machine(rows: list[np.ndarray], marks: np.ndarray, *, bits: int, rank: int, rate: float, l1: float, l2: float, epochs: int, min_rows: int, seed: int) -> Machine:
-    """Logistic loss; weights by FTRL-proximal, whose l1 penalty leaves out terms of no account, vectors of the others by AdaGrad.
+def fit_machine(rows: list[np.ndarray], marks: np.ndarray, *, bits: int, rank: int, rate: float, l1: float, l2: float, epochs: int, min_rows: int, pair_share: float, seed: int) -> Machine:
+    """Logistic loss; weights by FTRL-proximal, whose l1 penalty leaves out terms of no account, vectors by AdaGrad.
 
-    Chance sums of gradients grow with the root of the number of positive rows, so l1 is given for one such row and scaled.
+    Vectors are learned for terms with a weight, and for those in ``pair_share`` of the rows, which may count only together. Chance sums of gradients grow with the root of the number of positive rows, so l1 is given for one such row and scaled.
     Terms in fewer than ``min_rows`` rows stay out.
     """
     size = 1 << bits
@@ -77,6 +77,7 @@ def fit_machine(rows: list[np.ndarray], marks: np.ndarray, *, bits: int, rank: i
     rng = np.random.default_rng(seed)
     z, n = np.zeros(size), np.zeros(size)
     v, gv = rng.normal(0, 0.05, (size, rank)), np.full((size, rank), 1e-2)
+    paired = seen >= max(pair_share * len(rows), min_rows)
     l1 *= float(np.sqrt(max(marks.sum(), 1.0)))
     share = float(np.clip(marks.mean(), 1e-3, 1 - 1e-3)) if len(marks) else 0.5
     b, gb = float(np.log(share / (1 - share))), 1.0
@@ -88,7 +89,7 @@ def fit_machine(rows: list[np.ndarray], marks: np.ndarray, *, bits: int, rank: i
         for i in rng.permutation(len(rows)):
             at = rows[i]
             w = weights(at)
-            on = at[w != 0]
+            on = at[(w != 0) | paired[at]]
             va = v[on]
             total = va.sum(axis=0)
             odds = b + w.sum() + 0.5 * (total @ total - (va * va).sum())
@@ -101,11 +102,11 @@ def fit_machine(rows: list[np.ndarray], marks: np.ndarray, *, bits: int, rank: i
             gv[on] += step * step
             v[on] = va - 0.5 * rate * step / np.sqrt(gv[on])
     w = weights(slice(None))
-    v[w == 0] = 0
+    v[(w == 0) & ~paired] = 0
     return Machine(b, w.astype(np.float32), v.astype(np.float32))
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, max_train_rows: int = 16_000, bits: int = 17, rank: int = 4, rate: float = 0.1, l1: float = 0.4, l2: float = 1.0, epochs: int = 6, min_rows: int = 3, threshold: float = 0.7, seed: int = 3) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, max_train_rows: int = 16_000, bits: int = 17, rank: int = 4, rate: float = 0.1, l1: float = 0.4, l2: float = 1.0, epochs: int = 6, min_rows: int = 3, pair_share: float = 0.2, threshold: float = 0.7, seed: int = 3) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted; a row for each row of ``docs``.
 
     Labels are learned only from rows outside the held-out fold of crc32(doc_id as text), ``max_train_rows`` of them at most,
@@ -130,7 +131,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     def fit(group: pa.Table) -> pa.Table:
         order = np.argsort(group["doc_id"].to_numpy())
         at, y = group["terms"].to_pylist(), group["y"].to_numpy()[order]
-        m = fit_machine([np.frombuffer(at[i], "<i4") for i in order], y, bits=bits, rank=rank, rate=rate, l1=l1, l2=l2, epochs=epochs, min_rows=min_rows, seed=seed)
+        m = fit_machine([np.frombuffer(at[i], "<i4") for i in order], y, bits=bits, rank=rank, rate=rate, l1=l1, l2=l2, epochs=epochs, min_rows=min_rows, pair_share=pair_share, seed=seed)
         return pa.table({"bias": [m.bias], "weights": [m.weights.tobytes()], "factors": [m.factors.tobytes()]}, schema=model)
 
     fitted = sample.groupBy(F.lit(1).alias("all")).applyInArrow(lambda g: fit(g.select(["doc_id", "y", "terms"])), "bias double, weights binary, factors binary").collect()
