@@ -10,9 +10,10 @@ How the work is spread:
    other, so its star links most of a group at once, however large that is.
 3. Pairs pass if the XOR population count of their odd sketches allows the similarity within a wide margin; then both full
    sets are intersected.
-4. Linked members form components. Buckets that still hold several components get the missing comparisons: every member outside
-   the bucket's largest component against all members of other components. So every pair that shares a bucket is either
-   compared or already connected, and no link is lost to the stars.
+4. Linked members form components. Members of buckets that still hold several components get the missing comparisons, inside tasks
+   that hold two bounded blocks of whole sets and give back only links that join components. So every pair that shares a
+   bucket is compared or already connected, and no link is lost to the stars. This part alone is quadratic in the members
+   that the stars leave apart, in arithmetic and in copies of a block, never in rows.
 """
 
 from __future__ import annotations
@@ -79,26 +80,26 @@ def signatures(docs: DataFrame, *, width: int, bands: int, rows: int, bits: int)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the wanted representatives, as bytes."""
-    schema = pa.schema([("id", pa.int64()), ("set", pa.binary())])
+    """(id, set): the sorted shingle hashes of the wanted representatives."""
+    schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
     wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
-    made = wanted.mapInArrow(arrow_map(lambda t: (shingles(split_words((t or b"").lower()), width).tobytes(),), schema), "id long, set binary")
-    return made.filter("length(set) > 0").dropDuplicates(["id"])
+    made = wanted.mapInArrow(arrow_map(lambda t: (shingles(split_words((t or b"").lower()), width).view(np.int64),), schema), "id long, set array<long>")
+    return made.filter("size(set) > 0").dropDuplicates(["id"])
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, *, width: int, similarity: int, most: int) -> DataFrame:
+def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, *, similarity: int, most: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity in percent."""
     far = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    near = staged(near.filter(far <= most).select("a", "b"), "near")
-    sets = staged(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), width), "sets")
+    near = near.filter(far <= most).select("a", "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def confirm(batches):
         for batch in batches:
+            (v, at), (w, to) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in batch.columns[2:])
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i in range(len(batch)):
+                x, y = v[at[i] : at[i + 1]], w[to[i] : to[i + 1]]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
@@ -140,15 +141,93 @@ def _component_of(classes: DataFrame, sig: DataFrame, docs: DataFrame, *, width:
     hubs = members.join(meets, "id").groupBy("band").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("hub"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     stars = staged(members.join(hubs, "band").filter("id != hub").select(*ordered("id", "hub")).distinct(), "stars")
-    how = {"width": width, "similarity": similarity, "most": most}
-    linked = staged(_links(stars, sketches, docs, **how), "links")
+    sets = staged(_sets(docs, meets.select("id"), width), "sets")
+    linked = staged(_links(stars, sketches, sets, similarity=similarity, most=most), "links")
     first = staged(connected_components(linked, "a", "b"), "components")
     placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    sizes = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed_bands = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).filter("parts > 1").drop("parts")
-    split = staged(placed.join(mixed_bands, "band"), "split")
-    rest = split.filter("c != main").select("band", F.col("id").alias("x"), F.col("c").alias("cx"))
-    others = split.select("band", F.col("id").alias("y"), F.col("c").alias("cy"))
-    left = rest.join(others, "band").filter("cx != cy").select(*ordered("x", "y")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _links(left, sketches, docs, **how)
+    sizes = placed.select("band", "c").distinct()
+    mixed_bands = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band")
+    split = staged(placed.join(mixed_bands, "band", "left_semi"), "split")
+    more = _missing_links(split, sets, similarity)
     return connected_components(linked.unionByName(more), "a", "b")
+
+
+def _missing_links(split: DataFrame, sets: DataFrame, similarity: int, block_rows: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
+    """Links (a, b) between components of ``split`` (band, id, c) members that hang together by shared bands.
+
+    Members are dealt into blocks of bounded rows and bytes, each pair of blocks of a group is one piece of work, and the piece
+    intersects whole sets through the shingles' owners. Only links that join two components leave it, so the rows that Spark moves
+    grow with members and blocks, never with pairs.
+    """
+    heads = split.groupBy("band").agg(F.min("id").alias("head"))
+    groups = connected_components(split.join(heads, "band").select("id", "head"), "id", "head").withColumnsRenamed({"node": "id", "component": "g"})
+    members = staged(split.select("id", "c").distinct().join(groups, "id"), "groups")
+    known = sets.join(members, "id")
+    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("set") * F.lit(8)).alias("bytes"))
+    blocks = sizes.select("g", F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    rows = known.join(blocks, "g").select("g", "id", "c", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "c", "set")
+    dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches):
+        key, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
+            ids, cs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            values, at = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            for r, k in enumerate(keys):
+                if k != key and held:
+                    yield from _joining(held, similarity, schema)
+                    held = []
+                key = k
+                held.append((ids[r], cs[r], values[at[r] : at[r + 1]].copy()))
+        if held:
+            yield from _joining(held, similarity, schema)
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _joining(members: list[tuple[int, int, np.ndarray]], similarity: int, schema: pa.Schema):
+    """Links among (id, component, set) members that join components, as record batches."""
+    ids, sets = [m[0] for m in members], [m[2] for m in members]
+    root = {m[1]: m[1] for m in members}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    if len(root) < 2:
+        return
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, term = np.unique(np.concatenate(sets), return_inverse=True)
+    df = np.bincount(term)
+    starts = np.concatenate([[0], np.cumsum(df)])
+    owners = owner[np.argsort(term, kind="stable")]  # of each shingle in turn
+    ends = np.cumsum(sizes)
+    out: list[tuple[int, int]] = []
+    able = np.bincount(owner, weights=(df > 1)[term], minlength=len(sets))
+    main = _most_common([m[1] for m in members])
+    for x in np.flatnonzero(100 * able >= similarity * sizes).tolist():
+        if members[x][1] == main:
+            continue
+        terms = term[ends[x] - sizes[x] : ends[x]]
+        terms = terms[df[terms] > 1]
+        take = np.repeat(starts[terms] - np.concatenate([[0], np.cumsum(df[terms])[:-1]]), df[terms]) + np.arange(df[terms].sum())
+        both = np.bincount(owners[take], minlength=len(sets))
+        for y in np.flatnonzero((100 + similarity) * both >= similarity * (sizes[x] + sizes)).tolist():
+            p, q = find(members[x][1]), find(members[y][1])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+
+def _most_common(values: list[int]) -> int:
+    found, counts = np.unique(values, return_counts=True)
+    return int(found[counts.argmax()])
