@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lettermill.functions.vectors import dot, normalised
+from lettermill.functions.vectors import normalised
 from lettermill.operators.retrieval import usable
 
 #: Words that name no topic (fixed values).
@@ -31,22 +32,31 @@ def cluster(mails: DataFrame, k: int, *, seed: int = 13, key: str = "id") -> tup
     return model.transform(rows).select(key, "topic"), mails.sparkSession.createDataFrame(centres, "topic int, centroid array<double>")
 
 
-def assign(mails: DataFrame, centroids: DataFrame, *, key: str = "id", max_centroids: int = 10_000) -> DataFrame:
-    """key, topic, distance: the nearest centroid by cosine distance, ties to the smallest topic.
+def assign(rows: DataFrame, centroids: DataFrame, *, key: str = "id", max_centroids: int = 4096) -> DataFrame:
+    """key, topic, distance: the nearest centroid by cosine distance, ties to the smallest topic; batch or stream.
 
-    Centroids are parameters of the model: there may be ``max_centroids`` at most, and only then are they broadcast.
+    Centroids are the model's parameters: there may be ``max_centroids`` at most, and only then do they travel with the tasks, which
+    multiply matrices of Arrow batches. Nothing is shuffled. Rows without a usable vector have no row.
     """
-    if centroids.count() > max_centroids:
+    held = centroids.select("topic", "centroid").orderBy("topic").limit(max_centroids + 1).collect()
+    if len(held) > max_centroids:
         raise ValueError(f"more than {max_centroids} centroids")
-    return nearest_of(mails, centroids, key)
-
-
-def nearest_of(rows: DataFrame, centroids: DataFrame, key: str) -> DataFrame:
-    """As ``assign``, for streams too: the centroids become one array, each row looks for its nearest, nothing is shuffled."""
-    one = centroids.agg(F.array_sort(F.collect_list(F.struct("topic", normalised("centroid").alias("c")))).alias("centres"))
-    unit = rows.filter(usable()).select(key, normalised("embedding").alias("u")).crossJoin(F.broadcast(one))
-    near = F.array_min(F.transform("centres", lambda x: F.struct((1 - dot(F.col("u"), x["c"])).alias("distance"), x["topic"].alias("topic"))))
-    return unit.select(key, near.alias("m")).select(key, "m.topic", "m.distance")
+    names = np.array([r["topic"] for r in held], dtype=np.int32)
+    centres = np.array([r["centroid"] for r in held], dtype=float)
+    centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("topic int, distance double")
+    def nearest(vectors: pd.Series) -> pd.DataFrame:
+        if not len(vectors):
+            return pd.DataFrame({"topic": pd.Series(dtype="int32"), "distance": pd.Series(dtype="float64")})
+        x = np.array(vectors.tolist(), dtype=float)
+        size = np.linalg.norm(x, axis=1)
+        far = 1 - (x / np.where(size > 0, size, 1)[:, None]) @ centres.T
+        best = far.argmin(axis=1)
+        return pd.DataFrame({"topic": names[best], "distance": np.where(size > 0, far[np.arange(len(x)), best], np.nan)})
+
+    near = rows.filter("embedding is not null and size(embedding) > 0").select(key, nearest("embedding").alias("m"))
+    return near.select(key, "m.topic", "m.distance").filter("not isnan(distance)")
 
 
 def top_terms(rows: DataFrame, *, key: str = "topic", text: str = "subject", top: int = 5, min_length: int = 3) -> DataFrame:

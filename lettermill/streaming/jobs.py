@@ -108,6 +108,6 @@ def unanswered_alarms(rows: DataFrame, *, days: int = 3, delay: str = "0 seconds
 
 def assigned_topics(rows: DataFrame, centroids: DataFrame, *, key: str = "id") -> DataFrame:
     """New messages with their nearest centroid; the centroids are a bounded static table."""
-    from lettermill.operators.topics import nearest_of
+    from lettermill.operators.topics import assign
 
-    return nearest_of(rows, centroids, key)
+    return assign(rows, centroids, key=key)
