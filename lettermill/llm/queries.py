@@ -91,5 +91,32 @@ marked AS (SELECT doc_id, pos, line, k IN (SELECT k FROM common) AS gone FROM ke
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
+""",
+    "op4_chat": r"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok'),
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, (ceil((strlen(coalesce(role, '')) + strlen(coalesce(text, ''))) / 4) + 4)::BIGINT AS tokens FROM said),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM turns),
+rules AS (SELECT conv_id, min(pos) AS s_pos FROM ranked WHERE role = 'system' GROUP BY 1),
+sized AS (SELECT r.*, x.s_pos, greatest(1, floor(greatest(1, 2048 - 256 - coalesce(s.tokens, 0)) / 2))::BIGINT AS half FROM ranked r LEFT JOIN rules x ON x.conv_id IS NOT DISTINCT FROM r.conv_id LEFT JOIN ranked s ON s.conv_id IS NOT DISTINCT FROM x.conv_id AND s.pos = x.s_pos),
+placed AS (SELECT *, coalesce(sum(tokens) OVER w, 0)::BIGINT AS before, coalesce(sum((tokens > half)::INT) OVER w, 0)::BIGINT AS long_before FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+keyed AS (SELECT *, before // half AS part, 2 * long_before + (tokens > half)::INT AS long_key, 24 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '<\n|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) AS chars FROM placed),
+spans AS (SELECT conv_id, part, long_key, min(before) AS span FROM keyed GROUP BY 1, 2, 3),
+own AS (SELECT conv_id, sum(chars) AS c FROM keyed GROUP BY 1),
+past AS (SELECT k.conv_id, sum(chars) AS c FROM keyed k JOIN spans p ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.span >= k.before + k.tokens AND p.span <= k.before + 256 WHERE k.tokens <= 256 AND k.pos IS DISTINCT FROM k.s_pos GROUP BY 1),
+kept AS (SELECT k.conv_id, sum(chars) AS c FROM keyed k JOIN spans p ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.span > k.before WHERE k.pos = k.s_pos GROUP BY 1),
+digests AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS lost FROM ranked GROUP BY 1)
+SELECT d.conv_id, n_turns, turns_sha256, length(lost)::BIGINT AS loss_chars, sha256(lost) AS loss_sha256, (own.c + coalesce(past.c, 0) + coalesce(kept.c, 0))::BIGINT AS formatted_chars
+FROM digests d JOIN own ON own.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN past ON past.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN kept ON kept.conv_id IS NOT DISTINCT FROM d.conv_id
+""",
+    "op10_near_dup": r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+shingled AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingled GROUP BY 1),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM shingled a JOIN shingled b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * inter >= 75 * (x.n + y.n - inter)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(n, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, reach.r FROM reach JOIN both_ways l ON l.a = reach.n),
+found AS (SELECT n, min(r) AS component_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN found f ON f.n = d.doc_id
 """,
 }
