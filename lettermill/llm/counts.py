@@ -8,12 +8,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_PART = pa.schema([("chunk", pa.int32()), ("vector", pa.binary()), ("n", pa.int64())])
-_DDL = "chunk int, vector binary, n long"
+_PART = pa.schema([("chunk", pa.int32()), ("rows", pa.binary()), ("vector", pa.binary()), ("n", pa.int64())])
+_DDL = "chunk int, rows binary, vector binary, n long"
 
 
 def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tuple[int, ...], dtype: type, chunks: int = 8) -> tuple[np.ndarray, int]:
-    """(vector, rows): ``add(total, values)`` adds the values of the one column of ``rows`` to a task's total, batch by batch."""
+    """(vector, rows): ``add(total, values)`` adds the values of the one column of ``rows`` to a task's total, batch by batch.
+
+    Tasks hand over the rows of their total that are not zero, in ``chunks`` pieces.
+    """
+    sizes = [len(p) for p in np.array_split(np.empty(shape[0], bool), chunks)]
+    rest = shape[1:]
+
+    def part(chunk: int, piece: np.ndarray, n: int) -> pa.RecordBatch:
+        some = np.flatnonzero(piece.reshape(len(piece), -1).any(axis=1)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([piece[some].tobytes()], pa.binary()), pa.array([n], pa.int64())], schema=_PART)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(shape, dtype), 0
@@ -23,19 +32,19 @@ def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tupl
                 add(total, values)
                 n += len(values)
         if n:
-            pieces = np.array_split(total, chunks)
-            yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary()), pa.array([n] * chunks, pa.int64())], schema=_PART)
-
-    def merge(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, total, n = None, None, 0
-        for b in group:
-            for c, v, m in zip(*(b.column(i).to_pylist() for i in range(3))):
-                chunk, n = c, n + m
-                total = np.frombuffer(v, dtype) + (0 if total is None else total)
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], schema=_PART)
-
-    made = rows.mapInArrow(partial, _DDL).groupBy("chunk").applyInArrow(lambda t: pa.Table.from_batches(merge(iter(t.to_batches()))), _DDL).collect()  # the vector's size
-    if not made:
-        return np.zeros(shape, dtype), 0
-    made.sort(key=lambda r: r["chunk"])
-    return np.concatenate([np.frombuffer(bytes(r["vector"]), dtype) for r in made]).reshape(shape), made[0]["n"]
+            for chunk, piece in enumerate(np.array_split(total, chunks)):
+                yield part(chunk, piece, n)
+
+    def merge(table: pa.Table) -> pa.Table:
+        chunk, n = table["chunk"][0].as_py(), 0
+        total = np.zeros((sizes[chunk], *rest), dtype)
+        for some, vector, m in zip(*(table[c].to_pylist() for c in ("rows", "vector", "n"))):
+            total[np.frombuffer(some, np.int32)] += np.frombuffer(vector, dtype).reshape(-1, *rest)
+            n += m
+        return pa.Table.from_batches([part(chunk, total, n)])
+
+    made = rows.mapInArrow(partial, _DDL).groupBy("chunk").applyInArrow(merge, _DDL).collect()  # the vector's size
+    out, starts = np.zeros(shape, dtype), np.concatenate([[0], np.cumsum(sizes)])
+    for r in made:
+        out[starts[r["chunk"]] + np.frombuffer(bytes(r["rows"]), np.int32)] = np.frombuffer(bytes(r["vector"]), dtype).reshape(-1, *rest)
+    return out, made[0]["n"] if made else 0
