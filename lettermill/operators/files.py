@@ -46,9 +46,12 @@ def newest_parent(lines: DataFrame, mails: DataFrame) -> DataFrame:
     return rows.withColumn("r", F.row_number().over(newest)).filter("r = 1").select("sha256", "filename", "email_id", "date", "sender_address", "thread_id")
 
 
-def families(files: DataFrame) -> DataFrame:
+def families(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """a, b, confidence, signals: for every file its family, files of the same stem and the same sender or thread (itself included).
 
+    ``asked`` (key) limits the files whose families are listed. Without it every file is asked for, and the rows are the squares of
+    the families' sizes, as their definition says.
+
     ``files`` is (key, sha256, filename, sender_address, thread_id). Two equi-joins on stem and sender or thread stand for the
     disjunction, so no nested loop is needed. An empty stem has no family but itself.
     """
@@ -56,6 +59,9 @@ def families(files: DataFrame) -> DataFrame:
     stems = rows.filter("stem <> ''")
     side = lambda x: stems.select(*(F.col(c).alias(f"{c}_{x}") for c in rows.columns))
     a, b = side("a"), side("b")
+    if asked is not None:
+        wanted = asked.select("key").distinct()
+        a, rows = a.join(wanted.withColumnRenamed("key", "key_a"), "key_a", "left_semi"), rows.join(wanted, "key", "left_semi")
     by = lambda c: a.join(b, (F.col("stem_a") == F.col("stem_b")) & (F.col(f"{c}_a") == F.col(f"{c}_b")) & (F.col("key_a") != F.col("key_b")))
     pairs = by("sender_address").union(by("thread_id")).distinct()
     exact = F.col("sha256_a") == F.col("sha256_b")
