@@ -56,7 +56,7 @@ def assign(rows: DataFrame, centroids: DataFrame, *, key: str = "id", max_centro
         return pd.DataFrame({"topic": names[best], "distance": np.where(size > 0, far[np.arange(len(x)), best], np.nan)})
 
     near = rows.filter("embedding is not null and size(embedding) > 0").select(key, nearest("embedding").alias("m"))
-    return near.select(key, "m.topic", "m.distance").filter("not isnan(distance)")
+    return near.select(key, "m.topic", "m.distance").filter("distance is not null and not isnan(distance)")
 
 
 def top_terms(rows: DataFrame, *, key: str = "topic", text: str = "subject", top: int = 5, min_length: int = 3) -> DataFrame:
