@@ -233,6 +233,34 @@ def test_decontamination(spark):
     assert decontamination.benchmark_leaks(docs_of(spark, []), bench).count() == 0 and decontamination.benchmark_leaks(docs_of(spark, rows[:3]), bench.limit(0)).count() == 0
 
 
+def test_decontamination_more_passages_than_dimensions(spark):
+    """On sf0.1 (200 items, 376 passages, 96 dimensions): all items that a window holds by brute force, whole ones among them."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "benchmark"))
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.benchmark_leaks(docs, bench).collect()}
+    items = [(r["item_id"], decontamination.word_hashes(r["text"].encode())) for r in bench.collect()]
+    known = np.unique(np.concatenate([w for _, w in items]))
+    member = np.array([np.isin(known, w) for _, w in items] + [np.zeros(len(known), bool)]).T[:, :-1]
+    want, whole = set(), set()
+    for r in docs.select("doc_id", "text").collect():
+        words = decontamination.word_hashes((r["text"] or "").encode())
+        if not len(words):
+            continue
+        slot = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        held = np.cumsum(np.vstack([np.zeros(len(items), np.int32), member[slot] & (known[slot] == words)[:, None]]), axis=0, dtype=np.int32)
+        starts = np.arange(0, len(words), 16)
+        for k, (item, said) in enumerate(items):
+            n = len(said)
+            most = held[np.minimum(starts + n + 16, len(words)), k] - held[starts, k]
+            for at in starts[most >= 0.75 * n].tolist():
+                same = decontamination.common_subsequence(said, words[at : at + n + 16])
+                if same >= 0.75 * n:
+                    want.add((r["doc_id"], item))
+                if same == n and said.tobytes() in words[at : at + n + 16].tobytes():
+                    whole.add((r["doc_id"], item))
+    print(f"whole {len(whole & found)} of {len(whole)}, brute force {len(want & found)} of {len(want)}, found {len(found)}")
+    assert len(whole) > 200 and whole <= found and len(want & found) >= 0.99 * len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
