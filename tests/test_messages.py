@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+from collections import Counter
 from datetime import datetime
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,6 +95,15 @@ def test_thread_repair(spark, rows, expected):
     assert threads.repaired_threads(threads.apply_repair(m, changes)).count() == 0
 
 
+def test_co_participation_of_wide_threads(spark):
+    """Threads of 3, 260 and 450 senders, some twice: every pair counts once a thread."""
+    who = {"s": range(3), "w": range(260), "v": range(100, 550)}
+    rows = [(t, f"u{i}") for t, r in who.items() for i in [*r, *r[:5]]] + [("w", None), (None, "u1"), (None, "u2")]
+    want = Counter(p for r in who.values() for p in combinations(sorted(f"u{i}" for i in r), 2))
+    out = threads.co_participation(spark.createDataFrame(rows, "thread_id string, sender_address string"))
+    assert {(r["a"], r["b"]): r["shared_threads"] for r in out.collect()} == want
+
+
 def test_contacts_seed(spark):
     rows = [mail(f"n{i}", "noreply@shop.com", ["me@example.com"], "2025-01-01", name="Shop Team") for i in range(25)]
     rows += [mail("j1", "jane@p.com", ["me@example.com"], "2025-01-02", "tj", name="Jane Smith"), mail("j2", "me@example.com", ["jane@p.com"], "2025-01-03", "tj", cc=["jane@p.com"])]
