@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql.window import Window
 
 from lettermill.functions.vectors import cosine, literal, norm, normalised
 from lettermill.operators.predicates import message_filter
+from lettermill.staging import staged
 
 RANK_OFFSET = 60
 
@@ -115,7 +117,7 @@ def diverse_sample(mails: DataFrame, key: str, k: int, *, pool: int = 500) -> Da
 
 
 class VectorCells:
-    """Approximate search: vectors lie in k-means cells, a query reads the nearest few.
+    """Approximate search: vectors lie in k-means cells, a query reads the nearest few; ``nearest`` adds the cells that can hold more.
 
     The centroids are fitted on ``fit_rows`` rows at most; every row is assigned. The table is written partitioned by cell, so a
     search reads only the probed partitions.
@@ -137,5 +139,66 @@ class VectorCells:
         rows = self.spark.read.parquet(self.path).filter(F.col("cell").isin(near))
         return rows.withColumn("similarity", cosine("embedding", literal(vector))).orderBy(F.desc("similarity"), "id").limit(limit)
 
+    def radii(self) -> np.ndarray:
+        """The angle between each cell's centre and its farthest vector; -1 for empty cells."""
+        centres = np.array(self.centres)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                x = np.array(b["embedding"].tolist(), float)
+                angle = np.arccos(np.clip((x / np.linalg.norm(x, axis=1)[:, None] * centres[b["cell"]]).sum(axis=1), -1, 1))
+                yield pd.DataFrame({"cell": b["cell"], "angle": angle}).groupby("cell", as_index=False).max()
+
+        rows = self.spark.read.parquet(self.path).select("cell", "embedding").mapInPandas(run, "cell int, angle double")
+        out = np.full(len(centres), -1.0)
+        for r in rows.groupBy("cell").agg(F.max("angle").alias("angle")).collect():
+            out[r["cell"]] = r["angle"]
+        return out
+
+    def _best(self, ids: list, vectors: np.ndarray, wanted: np.ndarray, limit: int) -> DataFrame:
+        """query_id, id, similarity: the nearest of each batch in the cells that ``wanted`` (query x cell) names."""
+        id_type = self.spark.read.parquet(self.path).schema["id"].dataType.simpleString()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for cell, part in b.groupby("cell"):
+                    asked = np.flatnonzero(wanted[:, cell])
+                    part = part.sort_values("id")
+                    x = np.array(part["embedding"].tolist(), float)
+                    near = vectors[asked] @ (x / np.linalg.norm(x, axis=1)[:, None]).T
+                    top = np.argsort(-near, axis=1, kind="stable")[:, :limit]
+                    yield pd.DataFrame({"query_id": [ids[k] for k in asked for _ in range(top.shape[1])], "id": part["id"].to_numpy()[top.ravel()], "similarity": np.take_along_axis(near, top, 1).ravel()})
+
+        cells = np.flatnonzero(wanted.any(axis=0)).tolist()
+        return self.spark.read.parquet(self.path).filter(F.col("cell").isin(cells)).select("id", "embedding", "cell").mapInPandas(run, f"query_id {id_type}, id {id_type}, similarity double")
+
+    def nearest(self, queries: DataFrame, *, limit: int = 20, probes: int = 8, block: int = 1000) -> DataFrame:
+        """query_id, id, similarity: the nearest rows of every query (id, embedding), in blocks of ``block`` queries or so; exact.
+
+        The ``probes`` nearest cells come first. A further cell is read for the queries that it can serve: its centre's angle
+        less its radius leaves room for a row nearer than the last one found.
+        """
+        asked = queries.filter(usable()).select("id", "embedding")
+        blocks = max(1, -(-asked.count() // block))
+        radii, centres, found = self.radii(), np.array(self.centres), None
+        first = lambda t: ranked(t, F.desc("similarity"), F.asc("id"), by="query_id").filter(F.col("rank") <= limit).drop("rank")
+        for k in range(blocks):
+            rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()
+            if not rows:
+                continue
+            ids, x = [r["id"] for r in rows], np.array([r["embedding"] for r in rows], float)
+            x /= np.linalg.norm(x, axis=1)[:, None]
+            angle = np.arccos(np.clip(x @ centres.T, -1, 1))
+            probed = np.argsort(np.argsort(angle, axis=1), axis=1) < probes
+            one = staged(first(self._best(ids, x, probed, limit)), "near")
+            last = {r["query_id"]: r["last"] for r in one.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("similarity").alias("last")).filter(F.col("n") >= limit).collect()}
+            room = np.cos(np.maximum(angle - radii, 0)) + 1e-9 >= np.array([last.get(i, -2.0) for i in ids])[:, None]
+            more = room & ~probed & (radii >= 0)
+            if more.any():
+                one = first(one.unionByName(self._best(ids, x, more, limit)))
+            found = one if found is None else found.unionByName(one)
+        kind = self.spark.read.parquet(self.path).schema["id"].dataType.simpleString()
+        return self.spark.createDataFrame([], f"query_id {kind}, id {kind}, similarity double") if found is None else found
+
 
 __all__ = ["VectorCells", "chunk_search", "diverse_sample", "fuse_lists", "fuse_sources", "hybrid_search", "ranked", "semantic_search", "usable", "without_duplicates"]
