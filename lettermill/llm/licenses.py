@@ -24,6 +24,9 @@ TEMPLATES = [
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License, version 2, as published by the Free Software Foundation."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -32,6 +35,9 @@ TEMPLATES = [
 ]
 #: Words without which a line is no licence notice (fixed values).
 ANCHORS = ("licen", "copyright", "permission", "redistribut", "public domain")
+#: A notice starts up to so many lines before a line with an anchor, and has up to so many lines (fixed values: the longest
+#: template, wrapped at 40 characters).
+BACK, LONGEST = 3, 7
 LICENCE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 
 
@@ -54,7 +60,8 @@ def _scanned(files: DataFrame, templates: DataFrame, widths: tuple[int, ...], mi
     named = F.substring_index("path", "/", -1).rlike(LICENCE_NAME)
     lines = files.filter("text is not null").filter(_speaks(F.col("text"))).select("path", named.alias("named"), F.split("text", "\n", -1).alias("lines"))
     each = lines.select("path", "lines", F.posexplode("lines").alias("at", "line")).filter(_speaks(F.col("line")))
-    parts = F.explode(F.array_distinct(F.array(*(F.array_join(F.slice("lines", F.col("at") + 1, w), " ") for w in widths))))
+    windows = [(b, w) for b in range(BACK + 1) for w in sorted({*widths, *range(2, LONGEST + 1)}) if w > b]
+    parts = F.explode(F.array_distinct(F.array(*(F.array_join(F.slice("lines", F.greatest(F.col("at") + 1 - b, F.lit(1)), w), " ") for b, w in windows))))
     blocks = each.select("path", parts.alias("block")).unionAll(lines.filter("named").select("path", F.array_join("lines", " ").alias("block"))).distinct()
     blocks = staged(blocks, "blocks")
     size = blocks.count()
@@ -89,6 +96,7 @@ def default_templates(spark: SparkSession) -> DataFrame:
 def license_scan(files: DataFrame, templates: DataFrame | None = None, *, carry: tuple[str, ...] = (), widths: tuple[int, ...] = (1, 3), min_cosine: float = 0.6) -> DataFrame:
     """path, carry columns, license_id, cosine, how ('own', 'inherited' or null), from_dir; a row for each row of ``files``.
 
+    Blocks are the windows of ``widths`` and of 2 to 7 lines that hold a line with an anchor word and start up to 3 lines before it.
     A file's own licence is the template with the highest cosine over its blocks, ``min_cosine`` at least (ties: the greater
     id). A file without one inherits from the nearest directory above it whose licence file (LICENSE, COPYING, NOTICE ...) has a
     licence; of several such files in a directory the best cosine counts. Null and empty texts have no licence of their own. A

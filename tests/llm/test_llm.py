@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -108,6 +109,27 @@ def test_licenses(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_licenses_of_wrapped_headers(spark):
+    """Standard notices as files carry them: wrapped, as comments, with lines before and after."""
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    notices = {
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "LGPL-2.1": lgpl.format("2.1"), "LGPL-3.0": lgpl.format("3"), "GPL-3.0": lgpl.format("3").replace("library", "program").replace("Lesser ", ""),
+        "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    }
+    files, want = [], {}
+    for width in (40, 55, 72):
+        for name, notice in notices.items():
+            for mark in ("# ", " * ", ""):
+                path = f"{len(files)}/a.c"
+                files.append((path, "\n".join(["int main;", "", *(mark + x for x in textwrap.wrap(notice, width)), "", "more code here", "and there"])))
+                want[path] = name
+    files += [("mpl/LICENSE", files[0][1]), ("mpl/src/x.c", "code")]
+    out = {r["path"]: (r["license_id"], r["how"]) for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: out[p] for p in want} == {p: (v, "own") for p, v in want.items()}
+    assert out["mpl/src/x.c"] == ("MPL-2.0", "inherited")
+
+
 def test_licenses_find_every_notice(spark, sf_dir):
     out = queries.op3_licenses(spark, sf_dir)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
