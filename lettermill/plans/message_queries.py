@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lettermill.functions.vectors import norm
 from lettermill.operators import messages, spec, timeline
 from lettermill.operators.predicates import content_family, keyset_after, mentions, message_filter, of_account, order_by, scope_filter
-from lettermill.plans.registry import TS, joined, query, ts
+from lettermill.plans.registry import ORACLES, TS, joined, query, ts
 from lettermill.sources import archive
 
 RANGE = ("1995-01-01", "1999-01-01")
@@ -110,6 +110,24 @@ def projected_fields(spark: SparkSession, d: str) -> DataFrame:
     return messages.projected(rows, ["id", "body_length", "body_text"], 80).withColumn("body_length", F.col("body_length").cast("long"))
 
 
+def _every_row(name: str, where: str) -> str:
+    """The oracle of a query over a subset, without the subset's filter."""
+    assert where in ORACLES[name]
+    return ORACLES[name].removeprefix(archive.SQL).replace(where, "")
+
+
+@query(_every_row("snippets", " WHERE e.id % 50 = 0"))
+def snippets_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = archive.with_bodies(_mails(spark, d), spark, d)
+    return rows.select("id", messages.snippet(F.col("body_text"), "thing").alias("snippet"))
+
+
+@query(_every_row("projected_fields", " WHERE e.id % 100 = 1"))
+def projected_fields_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = archive.with_bodies(_mails(spark, d), spark, d)
+    return messages.projected(rows, ["id", "body_length", "body_text"], 80).withColumn("body_length", F.col("body_length").cast("long"))
+
+
 @query("SELECT id FROM emails WHERE date >= '1996-01-01' AND date < '2000-01-01' AND source_account IN ('acct0', 'acct2') AND (sender_address IN ('u1@d1.example', 'u5@d0.example') OR list_has_any(to_l, ['u1@d1.example', 'u5@d0.example']) OR list_has_any(cc_l, ['u1@d1.example', 'u5@d0.example']) OR list_has_any(bcc_l, ['u1@d1.example', 'u5@d0.example']))")
 def scope_filtered(spark: SparkSession, d: str) -> DataFrame:
     where = scope_filter(date_from="1996-01-01", date_to="2000-01-01", mailboxes=["acct0", "acct2"], participants=["u1@d1.example", "u5@d0.example"])
