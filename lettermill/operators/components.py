@@ -13,23 +13,26 @@ def _least_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
 
 
+def _settled(now: DataFrame) -> bool:
+    """Whether the edges (u, v) are stars: every u has one v, and no v is a u."""
+    ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(now.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Nodes may be of any ordered type. Null ends and self loops make no link (a self loop still names its node); repeated
     edges count once; an empty table gives an empty result. A hub is never gathered: each round takes minima by partial
     aggregation and joins them back, and Spark may split a skewed join. Each round is staged in the shared folder; the
-    driver sees only two sums a round. Raises ``RuntimeError`` if ``max_rounds`` do not reach the fixpoint.
+    driver sees only whether a round left anything but stars. Raises ``RuntimeError`` if ``max_rounds`` do not reach them.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    nodes = staged(both.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
-    now = staged(both.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    first = staged(both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = first.filter("u != v")
     for _ in range(max_rounds):
-        sums = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(sums) == before:
+        if _settled(now):
             break
-        before = tuple(sums)
         around = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = around.join(_least_neighbour(around), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.filter("u != v").distinct(), "large")
@@ -39,5 +42,5 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
         now = staged(small.filter("u != v").distinct(), "small")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
