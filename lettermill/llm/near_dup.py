@@ -9,11 +9,13 @@ How the work is spread:
    is paired with every other member (a star). The text that near copies were made from meets more copies than they meet each
    other, so its star links most of a group at once, however large that is.
 3. Pairs pass if the XOR population count of their odd sketches allows the similarity within a wide margin; then both full
-   sets are intersected.
+   sets are intersected. A hub of many pairs is dealt to many tasks.
 4. Linked members form components. Members of buckets that still hold several components get the missing comparisons, inside tasks
-   that hold two bounded blocks of whole sets and give back only links that join components. So every pair that shares a
-   bucket is compared or already connected, and no link is lost to the stars. This part alone is quadratic in the members
-   that the stars leave apart, in arithmetic and in copies of a block, never in rows.
+   that hold two bounded blocks of a bucket's whole sets and give back only links between components. So every pair that shares a
+   bucket is compared or already connected, and no link is lost to the stars. For a bucket of n members that the stars leave apart
+   this part takes n * n comparisons and n / ``block_rows`` copies of each member's set; it never makes a row for each pair. Buckets
+   with the same members are compared once. The links between components, usually few, are joined by a second, small run of
+   components.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.llm.hot import hot_join, hot_keys
 from lettermill.llm.words import PRIME, arrow_map, mixed, shingles, split_words
 from lettermill.operators.components import connected_components
 from lettermill.staging import staged
@@ -80,19 +83,31 @@ def signatures(docs: DataFrame, *, width: int, bands: int, rows: int, bits: int)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, set): the sorted shingle hashes of the wanted representatives."""
+    """(id, set): the sorted shingle hashes of the wanted representatives; a row for each of their texts."""
     schema = pa.schema([("id", pa.int64()), ("set", pa.list_(pa.int64()))])
-    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    wanted = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
     made = wanted.mapInArrow(arrow_map(lambda t: (shingles(split_words((t or b"").lower()), width).view(np.int64),), schema), "id long, set array<long>")
-    return made.filter("size(set) > 0").dropDuplicates(["id"])
+    return made.filter("size(set) > 0")
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, *, similarity: int, most: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity in percent."""
-    far = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    near = near.filter(far <= most).select("a", "b")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _stars(members: DataFrame, hubs: DataFrame, reps: DataFrame, total: int, most: int) -> DataFrame:
+    """(id, hub): members whose sketch is near enough to that of a bucket's hub."""
+    sketches = reps.select("id", "sketch")
+    known = staged(hubs.join(sketches.select(F.col("id").alias("hub"), F.col("sketch").alias("hub_sketch")), "hub"), "hubs")
+    pairs = hot_join(members.select("id", "band"), known, ["band"], "n", total).filter("id != hub").select("id", "hub", "hub_sketch").distinct()
+    far = F.aggregate(F.zip_with("sketch", "hub_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(sketches, "id").filter(far <= most).select("id", "hub").distinct()
+
+
+def _links(stars: DataFrame, sets: DataFrame, *, similarity: int, salts: int = 256) -> DataFrame:
+    """The pairs (id, hub) whose full sets reach the similarity in percent; hot hubs are dealt to ``salts`` tasks."""
+    hot = hot_keys(stars.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "n", stars.count()).select("hub", F.lit(True).alias("hot"))
+    marked = stars.join(F.broadcast(hot), "hub", "left").select("id", "hub", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(salts))).otherwise(F.lit(0)).alias("salt"))
+    of_hub = sets.select(F.col("id").alias("hub"), F.col("set").alias("hub_set")).join(F.broadcast(hot), "hub", "left")
+    none = F.lit(0).cast("long")
+    of_hub = of_hub.select("hub", "hub_set", F.explode(F.when(F.col("hot"), F.sequence(none, none + (salts - 1))).otherwise(F.array(none))).alias("salt"))
+    full = marked.join(sets, "id").join(of_hub, ["hub", "salt"])
+    schema = pa.schema([("id", pa.int64()), ("hub", pa.int64())])
 
     def confirm(batches):
         for batch in batches:
@@ -104,95 +119,100 @@ def _links(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, *, similarity
                 keep.append(100 * both >= similarity * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(keep, pa.bool_()))
 
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return full.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
+    return full.select("id", "hub", "set", "hub_set").mapInArrow(confirm, "id long, hub long")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 75, bands: int = 32, rows: int = 4, bits: int = 512, margin: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 75, bands: int = 32, rows: int = 4, bits: int = 512, margin: float = 0.2, block_rows: int = 1024) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
 
     Two documents are linked if the Jaccard similarity of their sets of ``width``-word shingles (A-Z lower-cased, words cut at
     ASCII white space) is at least ``similarity`` percent. ``bands`` times ``rows`` MinHash values miss a pair at 0.75 with a
-    probability of 5e-6, and the sketch check lets pairs pass that look ``margin`` below the threshold.
+    probability of 5e-6; the sketch check of the stars lets pairs pass that look ``margin`` below the threshold, and pairs it stops
+    are compared in blocks of ``block_rows`` members.
 
     Null or empty texts and texts of white space only have no shingles: they are linked with nothing and kept, their component is
-    their own doc_id. Fewer words than ``width`` make one shingle. Rows with a null doc_id take part in no link; they get
-    a null component and are kept unless they equal another document's set. A repeated row is a copy of itself and gives a row
-    again. Only doc_id and text are read, so other columns cannot clash. No rows give no rows.
+    their own doc_id. Fewer words than ``width`` make one shingle; texts of any length are taken whole. Rows with a null doc_id take
+    part in no link; they get a null component and are kept unless they equal another document's set. A repeated row is a copy of
+    itself and gives a row again. Rows that repeat a doc_id with other texts are one document: it is linked where any of its texts
+    is, and each row has the document's component. Only doc_id and text are read, so other columns cannot clash. No rows give no rows.
     """
     sig = staged(signatures(docs, width=width, bands=bands, rows=rows, bits=bits), "signatures")
-    classes = sig.filter("n_shingles > 0 and doc_id is not null").groupBy("print_1", "print_2").agg(F.min("doc_id").alias("id"))
-    classes = staged(classes, "classes")
-    found = _component_of(classes, sig, docs, width=width, similarity=similarity, most=most_differing_bits(similarity / 100 - margin, bands * rows, bits))
-    of_class = classes.join(found, classes["id"] == found["node"], "left").select("print_1", "print_2", F.coalesce("component", "id").alias("component"))
+    some = sig.filter("n_shingles > 0 and doc_id is not null")
+    least = some.groupBy("print_1", "print_2").agg(F.min(F.struct(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch", "bands")).alias("r"))
+    reps = staged(least.select("print_1", "print_2", "r.*"), "classes")
+    found = _component_of(reps, some, docs, width=width, similarity=similarity, most=most_differing_bits(similarity / 100 - margin, bands * rows, bits), block_rows=block_rows)
+    of_class = reps.join(found, reps["id"] == found["node"], "left").select("print_1", "print_2", F.coalesce("component", "id").alias("component"))
     out = sig.select("doc_id", "n_shingles", "print_1", "print_2").join(of_class, ["print_1", "print_2"], "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
-def _component_of(classes: DataFrame, sig: DataFrame, docs: DataFrame, *, width: int, similarity: int, most: int) -> DataFrame:
-    """(node, component) of the class representatives that have a link."""
-    own = sig.join(classes.withColumnRenamed("id", "doc_id"), ["print_1", "print_2", "doc_id"], "left_semi")
-    sketches = own.select(F.col("doc_id").alias("id"), "sketch")
-    keys = own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")).distinct()
-    shared = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = staged(keys.join(shared, "band"), "members")
+def _several_texts(some: DataFrame, reps: DataFrame) -> DataFrame:
+    """(id, hub): the classes of documents whose rows have several texts, each tied to the document."""
+    ends = [f(c).alias(f"{n}_{c}") for c in ("print_1", "print_2") for n, f in (("low", F.min), ("high", F.max))]
+    torn = some.groupBy("doc_id").agg(*ends).filter("low_print_1 != high_print_1 or low_print_2 != high_print_2").select("doc_id")
+    return some.select("doc_id", "print_1", "print_2").join(torn, "doc_id", "left_semi").join(reps.select("print_1", "print_2", "id"), ["print_1", "print_2"]).select("id", F.col("doc_id").alias("hub"))
+
+
+def _component_of(reps: DataFrame, some: DataFrame, docs: DataFrame, *, width: int, similarity: int, most: int, block_rows: int) -> DataFrame:
+    """(node, component) of the class representatives that have a link or share a bucket."""
+    keys = reps.select("id", "size", F.explode("bands").alias("band"))
+    total = max(reps.count() * 32, 1)
+    shared = staged(keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    members = staged(hot_join(keys, shared, ["band"], "n", total), "members")
     meets = members.groupBy("id").agg(F.sum(F.col("n") - 1).alias("meets"))
-    hubs = members.join(meets, "id").groupBy("band").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("hub"))
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = staged(members.join(hubs, "band").filter("id != hub").select(*ordered("id", "hub")).distinct(), "stars")
+    hubs = members.join(meets, "id").groupBy("band").agg(F.max_by("id", F.struct("meets", -F.col("id"))).alias("hub"), F.max("n").alias("n"))
+    stars = staged(_stars(members, hubs, reps, total, most), "stars")
     sets = staged(_sets(docs, meets.select("id"), width), "sets")
-    linked = staged(_links(stars, sketches, sets, similarity=similarity, most=most), "links")
-    first = staged(connected_components(linked, "a", "b"), "components")
-    placed = members.join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    sizes = placed.select("band", "c").distinct()
-    mixed_bands = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band")
-    split = staged(placed.join(mixed_bands, "band", "left_semi"), "split")
-    more = _missing_links(split, sets, similarity)
-    return connected_components(linked.unionByName(more), "a", "b")
-
-
-def _missing_links(split: DataFrame, sets: DataFrame, similarity: int, block_rows: int = 2048, block_bytes: int = 16 << 20) -> DataFrame:
-    """Links (a, b) between components of ``split`` (band, id, c) members that hang together by shared bands.
-
-    Members are dealt into blocks of bounded rows and bytes, each pair of blocks of a group is one piece of work, and the piece
-    intersects whole sets through the shingles' owners. Only links that join two components leave it, so the rows that Spark moves
-    grow with members and blocks, never with pairs.
+    linked = _links(stars, sets, similarity=similarity).unionByName(_several_texts(some, reps))
+    first = staged(connected_components(linked, "id", "hub"), "components")
+    placed = members.select("band", "id", "size").join(first.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "size", F.coalesce("component", "id").alias("c"))
+    placed = staged(placed, "placed")
+    more = _missing_links(placed, sets, total, similarity, block_rows)
+    joined = staged(connected_components(more, "a", "b").select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
+    of_node = placed.select(F.col("id").alias("node"), F.col("c").alias("component")).unionByName(first).distinct()
+    return of_node.join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+
+
+def _missing_links(placed: DataFrame, sets: DataFrame, total: int, similarity: int, block_rows: int, block_bytes: int = 16 << 20) -> DataFrame:
+    """Links (a, b) between components c of ``placed`` (band, id, size, c) members that share a bucket.
+
+    The members of a bucket are dealt into blocks of bounded rows and bytes, each pair of blocks of a bucket is one piece of work, and
+    the piece intersects whole sets through the shingles' owners. Only links that join two components leave it.
     """
-    heads = split.groupBy("band").agg(F.min("id").alias("head"))
-    groups = connected_components(split.join(heads, "band").select("id", "head"), "id", "head").withColumnsRenamed({"node": "id", "component": "g"})
-    members = staged(split.select("id", "c").distinct().join(groups, "id"), "groups")
-    known = sets.join(members, "id")
-    sizes = known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("set") * F.lit(8)).alias("bytes"))
-    blocks = sizes.select("g", F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / block_bytes)).cast("int").alias("blocks"))
+    buckets = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * 8).alias("bytes"), F.min("c").alias("low"), F.max("c").alias("high"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("mark"))
+    buckets = buckets.filter("low != high").groupBy("n", "bytes", "mark").agg(F.min("band").alias("band"))
+    blocks = F.ceil(F.greatest(F.col("n") / block_rows, F.col("bytes") / block_bytes)).cast("int")
+    split = hot_join(placed, staged(buckets.select("band", "n", blocks.alias("blocks")), "mixed"), ["band"], "n", total)
+    known = split.join(sets, "id")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    rows = known.join(blocks, "g").select("g", "id", "c", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("g", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "c", "set")
-    dealt = rows.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "id")
+    rows = known.select("band", "id", "c", "set", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "c", "set")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "c")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(batches):
         key, held = None, []
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3))))
-            ids, cs = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            values, at = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
+            cs = batch.column(3).to_pylist()
+            values, at = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
             for r, k in enumerate(keys):
                 if k != key and held:
                     yield from _joining(held, similarity, schema)
                     held = []
                 key = k
-                held.append((ids[r], cs[r], values[at[r] : at[r + 1]].copy()))
+                held.append((cs[r], values[at[r] : at[r + 1]].copy()))
         if held:
             yield from _joining(held, similarity, schema)
 
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def _joining(members: list[tuple[int, int, np.ndarray]], similarity: int, schema: pa.Schema):
-    """Links among (id, component, set) members that join components, as record batches."""
-    ids, sets = [m[0] for m in members], [m[2] for m in members]
-    root = {m[1]: m[1] for m in members}
+def _joining(members: list[tuple[int, np.ndarray]], similarity: int, schema: pa.Schema):
+    """The components that links among (component, set) members join, as record batches of pairs."""
+    cs, sets = [m[0] for m in members], [m[1] for m in members]
+    root = {c: c for c in cs}
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -211,19 +231,19 @@ def _joining(members: list[tuple[int, int, np.ndarray]], similarity: int, schema
     ends = np.cumsum(sizes)
     out: list[tuple[int, int]] = []
     able = np.bincount(owner, weights=(df > 1)[term], minlength=len(sets))
-    main = _most_common([m[1] for m in members])
+    main = _most_common(cs)
     for x in np.flatnonzero(100 * able >= similarity * sizes).tolist():
-        if members[x][1] == main:
+        if cs[x] == main:
             continue
         terms = term[ends[x] - sizes[x] : ends[x]]
         terms = terms[df[terms] > 1]
         take = np.repeat(starts[terms] - np.concatenate([[0], np.cumsum(df[terms])[:-1]]), df[terms]) + np.arange(df[terms].sum())
         both = np.bincount(owners[take], minlength=len(sets))
         for y in np.flatnonzero((100 + similarity) * both >= similarity * (sizes[x] + sizes)).tolist():
-            p, q = find(members[x][1]), find(members[y][1])
+            p, q = find(cs[x]), find(cs[y])
             if p != q:
                 root[max(p, q)] = min(p, q)
-                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                out.append((min(cs[x], cs[y]), max(cs[x], cs[y])))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
