@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.words import binary
+from lettermill.llm.words import binary, small
 
 #: The pre-tokenizer of byte-level vocabularies of this family (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -90,7 +90,14 @@ def cut(text: str, size: int, special: list[str]) -> Iterator[tuple[int, str]]:
             held: list[str] = []
             for token in _matches(text[at:end], literal):
                 if held and sum(map(len, held)) + len(token) > size:
-                    yield -1, "".join(held)
+                    spaces: list[str] = []
+                    while held and held[-1].isspace():
+                        spaces.insert(0, held.pop())
+                    if held:
+                        yield -1, "".join(held)
+                    for space in spaces:  # alone, two of them could become one pre-token
+                        yield n_unsplit, space
+                        n_unsplit += 1
                     held = []
                 if len(token) > size and token not in special:
                     for i in range(0, len(token), size):
@@ -137,13 +144,6 @@ def _coded_batch(doc_ids: pa.Array, ids: list[np.ndarray], coder: tiktoken.Encod
     return pa.RecordBatch.from_arrays(columns, schema=pa.schema([*IDS, *([("text", pa.string())] if with_text else [])]))
 
 
-def _small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that a task holds few ids and texts at a time."""
-    for batch in batches:
-        for i in range(0, len(batch), rows):
-            yield batch.slice(i, rows)
-
-
 def encode(docs: DataFrame, vocab_path: str, *, piece_chars: int = 32_768, with_text: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) of each whole text; special tokens in a text get their id.
 
@@ -157,13 +157,13 @@ def encode(docs: DataFrame, vocab_path: str, *, piece_chars: int = 32_768, with_
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.encoding()
-        for batch in _small(batches):
+        for batch in small(batches):
             yield _coded_batch(batch.column(0), [coder.encode_to_numpy(t, allowed_special="all") for t in batch.column(1).to_pylist()], coder, with_text)
 
     cut_schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("at", pa.int64()), ("unsplit", pa.int64()), ("piece", pa.string())])
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _small(batches, 16):
+        for batch in small(batches, 16):
             for d, h, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 made = list(cut(t, piece_chars, list(vocab.special)))
                 yield pa.RecordBatch.from_pylist([{"doc_id": d, "text_hash": h, "at": i, "unsplit": u, "piece": p} for i, (u, p) in enumerate(made)], schema=cut_schema)
@@ -172,7 +172,7 @@ def encode(docs: DataFrame, vocab_path: str, *, piece_chars: int = 32_768, with_
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.encoding()
-        for batch in _small(batches, 16):
+        for batch in small(batches, 16):
             ids = [coder.encode_to_numpy(p, allowed_special="all") if u < 0 else np.array(coder._encode_single_piece(p), "<u4") for u, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], schema=coded_schema)
 
@@ -218,7 +218,7 @@ def decode(encoded: DataFrame, vocab_path: str, *carry: str) -> DataFrame:
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocab.encoding()
-        for batch in _small(batches):
+        for batch in small(batches):
             texts = [None if b is None else _text(np.frombuffer(b, "<u4"), coder) for b in binary(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:]], names=["doc_id", "text", *carry])
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.counts import summed
 from lettermill.llm.quality_model import fold
 from lettermill.llm.sampling import bounded_sample
+from lettermill.llm.words import small
 from lettermill.staging import staged
 
 LETTER = regex.compile(r"\p{L}")
@@ -115,10 +116,10 @@ def temperature_of(scores: np.ndarray, marks: np.ndarray) -> float:
 
 
 def train_language(docs: DataFrame, *, folds: int, held_out: int, max_train_rows: int, bits: int, rate: float, l1: float, l2: float, epochs: int, seed: int) -> LanguageModel:
-    learn = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("text is not null and lang is not null").filter(fold(F.col("doc_id"), folds) != held_out)
+    learn = docs.select(F.col("doc_id").cast("long"), "text", "lang").filter("doc_id is not null and text is not null and lang is not null").filter(fold(F.col("doc_id"), folds) != held_out)
     counts, n = frequencies(learn, bits)
     idf = (np.log((1 + n) / (1 + counts)) + 1).astype(np.float32)
-    ids = staged(bounded_sample(learn.filter("doc_id is not null").select("doc_id").distinct(), max_train_rows, seed), "sample")
+    ids = staged(bounded_sample(learn.select("doc_id").distinct(), max_train_rows, seed), "sample")
     sample = learn.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*")  # bounded by max_train_rows
     blank = LanguageModel([], idf, np.zeros((1 << bits, 0), np.float32), 1.0, bits)
     schema = pa.schema([("languages", pa.list_(pa.string())), ("weights", pa.binary()), ("temperature", pa.float64())])
@@ -153,7 +154,7 @@ def language_id(docs: DataFrame, *, folds: int = 4, held_out: int = 2, max_train
     model = train_language(docs, folds=folds, held_out=held_out, max_train_rows=max_train_rows, bits=bits, rate=rate, l1=l1, l2=l2, epochs=epochs, seed=seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             made = [model.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -18,6 +18,7 @@ from xxhash import xxh32_intdigest
 
 from lettermill.llm.quality_model import fold
 from lettermill.llm.sampling import bounded_sample
+from lettermill.llm.words import small
 from lettermill.staging import staged
 
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
@@ -121,7 +122,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     made = pa.schema([("doc_id", pa.int64()), ("y", pa.float64()), ("terms", pa.binary())])
 
     def termed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             at = [np.sort(terms(t)).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(at, pa.binary())], schema=made)
 
@@ -139,7 +140,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_
     machine = Machine(fitted[0]["bias"], np.frombuffer(bytes(fitted[0]["weights"]), np.float32), np.frombuffer(bytes(fitted[0]["factors"]), np.float32).reshape(size, rank)) if fitted else Machine(0.0, np.zeros(size, np.float32), np.zeros((size, rank), np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([machine.score(terms(t)) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     out = rows.mapInArrow(run, "doc_id long, score double")

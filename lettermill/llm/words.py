@@ -55,11 +55,18 @@ def binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that a task turns few texts at a time into Python objects."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def arrow_map(row: Callable[[bytes | None], tuple], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """For mapInArrow: ``row(text bytes)`` of the second column gives the values after the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             made = [row(t) for t in binary(batch.column(1))]
             columns = list(zip(*made)) if made else [[] for _ in schema.names[1:]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema.field(0).type), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
