@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,9 +45,20 @@ def source_key(sid: Column) -> Column:
     return F.when(sid.startswith("thr_"), F.decode(F.unbase64(F.translate(body, "-_", "+/")), "UTF-8")).otherwise(body)
 
 
-def embedding_text(subject: str, name: str, body: str) -> Column:
+def embedding_text(subject: str, name: str, body: str, max_tokens: int = 7500) -> Column:
+    """The text that is embedded, cut to its longest beginning of ``max_tokens`` estimated tokens; only longer texts go to Python."""
     part = lambda c: F.coalesce(F.col(c), F.lit(""))
-    return F.concat(F.lit("Subject: "), part(subject), F.lit("\nFrom: "), part(name), F.lit("\n\n"), part(body))
+    whole = F.concat(F.lit("Subject: "), part(subject), F.lit("\nFrom: "), part(name), F.lit("\n\n"), part(body))
+
+    @F.pandas_udf("string")
+    def beginning(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None else t[: bisect_right(range(len(t) + 1), max_tokens, key=lambda n: _tokens(t[:n])) - 1])
+
+    return F.coalesce(beginning(F.when(estimated_tokens(whole) > max_tokens, whole)), whole)
+
+
+def _tokens(text: str) -> int:
+    return len(text.encode()) // 4 + sum(len(u.encode()) for u in re.findall(r"https?://\S+", text)) // 2
 
 
 def estimated_tokens(text: Column) -> Column:

@@ -16,8 +16,7 @@ def norm(v: str | Column) -> Column:
 
 def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine similarity; null where a vector is null or has no length."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n)
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def normalised(v: str | Column) -> Column:

@@ -88,10 +88,10 @@ def rollup(book: DataFrame) -> DataFrame:
 
 def human_probability(book: DataFrame, mails: DataFrame, me: DataFrame) -> DataFrame:
     """contact_id, human_probability, signals (map of the weights that counted); contacts that are only the owner have no row."""
-    rows = mails.filter("thread_id is not null").select("thread_id", normalised("sender_address").alias("address"))
-    sizes = rows.groupBy("thread_id").agg(F.count(F.lit(1)).alias("depth"))
-    replied = rows.join(me.select(normalised("address").alias("address")).distinct(), "address", "left_semi").select("thread_id", F.lit(1).alias("replied")).distinct()
-    per = rows.join(sizes, "thread_id").join(replied, "thread_id", "left").groupBy("address").agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("depth"), F.count("replied").alias("replied"))
+    own = me.select(normalised("address").alias("address")).distinct().withColumn("mine", F.lit(1))
+    rows = mails.filter("thread_id is not null").groupBy("thread_id", normalised("sender_address").alias("address")).agg(F.count(F.lit(1)).alias("said"))
+    sizes = rows.join(own, "address", "left").groupBy("thread_id").agg(F.sum("said").alias("depth"), F.max("mine").alias("replied"))
+    per = rows.join(sizes, "thread_id").groupBy("address").agg(F.sum("said").alias("n"), F.sum(F.col("said") * F.col("depth")).alias("depth"), F.sum(F.when(F.col("replied") == 1, F.col("said")).otherwise(0)).alias("replied"))
     threads = per.join(book.select("address", "contact_id"), "address").groupBy("contact_id").agg((F.sum("depth") / F.sum("n")).alias("depth"), (F.sum("replied") / F.sum("n")).alias("ratio"))
     c = rollup(book).filter("not only_user").join(threads, "contact_id", "left")
     some = lambda arr, f: F.exists(arr, f)
@@ -194,6 +194,55 @@ def curated(computed: DataFrame, overlay: DataFrame, key: str = "id") -> DataFra
     return computed.join(renamed, key, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in fields}).drop(*(f"_{c}" for c in fields))
 
 
+def thread_counts(book: DataFrame, mails: DataFrame) -> DataFrame:
+    """contact_id, threads: distinct threads in which an address of the contact writes; contacts that write in none have no row."""
+    rows = mails.filter("thread_id is not null").select("thread_id", normalised("sender_address").alias("address")).distinct()
+    return rows.join(book.select("address", "contact_id"), "address").groupBy("contact_id").agg(F.countDistinct("thread_id").alias("threads"))
+
+
+def profiles(book: DataFrame, mails: DataFrame, merges: DataFrame) -> DataFrame:
+    """contact_id, class ('owner' or 'external'), addresses (by volume, with figures), threads, merged (newest first): one row a contact.
+
+    ``merges`` has source_id, target_id, merged_at: those whose target the contact is can be undone.
+    """
+    one = F.struct((-(F.col("messages_from") + F.col("messages_to"))).alias("rank"), "address", "is_user", "messages_from", "messages_to", "first_seen", "last_seen")
+    cards = book.groupBy("contact_id").agg(F.when(F.bool_and("is_user"), "owner").otherwise("external").alias("class"), F.array_sort(F.collect_list(one)).alias("addresses"))
+    newest = F.reverse(F.array_sort(F.collect_list(F.struct("merged_at", "source_id"))))
+    held = merges.groupBy(F.col("target_id").alias("contact_id")).agg(newest.alias("merged"))
+    rows = cards.join(thread_counts(book, mails), "contact_id", "left").join(held, "contact_id", "left")
+    none = F.array().cast("array<struct<merged_at:timestamp,source_id:string>>")
+    return rows.select("contact_id", "class", "addresses", F.coalesce("threads", F.lit(0)).alias("threads"), F.coalesce("merged", none).alias("merged"))
+
+
+def probability_bands(scores: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """One row: how many human probabilities are below ``low``, up to ``high``, and above."""
+    p = F.col("human_probability")
+    return scores.agg(F.count_if(p < low).alias("low"), F.count_if((p >= low) & (p <= high)).alias("middle"), F.count_if(p > high).alias("high"))
+
+
+def resolve_substrings(names: DataFrame, cards: DataFrame) -> DataFrame:
+    """name, address: an e-mail address stands for itself; a name resolves where it is part, in any case, of the display name, a name
+    variant or an address of exactly one contact with addresses.
+
+    Trigrams of the names meet trigrams of the contacts' texts in an equi-join on the name's rarest trigram, so no name is compared with
+    every contact; names of fewer than three characters are looked up among all substrings of their length.
+    """
+    exact = names.filter(F.col("name").contains("@")).select("name", normalised("name").alias("address"))
+    asked = names.filter(~F.col("name").contains("@") & (F.trim("name") != "")).select("name", F.lower(F.trim("name")).alias("low")).distinct()
+    texts = cards.filter(F.size("addresses") > 0).select("contact_id", "primary_address", F.explode(F.array_distinct(F.transform(F.concat("name_variants", "addresses", F.array_compact(F.array("display_name"))), F.lower))).alias("known"))
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    found = None
+    for n in (1, 2, 3):
+        wanted = asked.filter(F.length("low") == n if n < 3 else F.length("low") >= n)
+        parts = texts.select("contact_id", "primary_address", "known", F.explode(pieces(F.col("known"), n)).alias("piece"))
+        often = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
+        rarest = wanted.select("name", "low", F.explode(pieces(F.col("low"), n)).alias("piece")).join(often, "piece", "left").groupBy("name", "low").agg(F.min_by("piece", F.struct(F.coalesce("often", F.lit(0)), "piece")).alias("piece"))
+        hits = rarest.join(parts, "piece").filter(F.contains("known", "low")).select("name", "contact_id", "primary_address").distinct()
+        found = hits if found is None else found.unionByName(hits)
+    alone = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("primary_address").alias("address")).filter("n = 1")
+    return exact.unionByName(alone.select("name", "address"))
+
+
 def resolve_names(names: DataFrame, cards: DataFrame) -> DataFrame:
     """name, address: an e-mail address stands for itself; a name resolves where exactly one contact with that name has addresses."""
     exact = names.filter(F.col("name").contains("@")).select("name", normalised("name").alias("address"))

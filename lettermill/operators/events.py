@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Days that join spikes, days round a window, and the least threshold (fixed values).
 MERGE_DAYS, PAD_DAYS, MIN_THRESHOLD = 3, 1, 5.0
 #: Allowed values (fixed values).
 EVENT_TYPES = ("decision", "meeting", "travel", "purchase", "deadline", "transition", "document", "communication", "user_defined")
@@ -98,6 +102,16 @@ def claim_conflicts(claims: DataFrame) -> DataFrame:
     return torn.union(claims.filter("status = 'conflicting'").select("event_id", "position")).distinct()
 
 
+def title_key(title: Column | str) -> Column:
+    """The title trimmed, in lower case, with single spaces."""
+    return F.lower(F.regexp_replace(F.regexp_replace(title, r"^\s+|\s+$", ""), r"\s+", " "))
+
+
+def mark_position(start: Column, precision: Column) -> Column:
+    """Where an event's mark stands: its hour where that is known, else the beginning of its day."""
+    return F.when(precision == "hour", start).otherwise(F.date_trunc("day", start))
+
+
 def upsert(events: DataFrame, versions: DataFrame, extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(events, versions, outcome) after automatic events are stored without clobbering reviewed ones.
 
@@ -106,9 +120,8 @@ def upsert(events: DataFrame, versions: DataFrame, extracted: DataFrame) -> tupl
     time and id): unreviewed, it is superseded by a new current version; reviewed, the version is a suggestion only. Others
     are created.
     """
-    key = lambda c: F.lower(F.regexp_replace(F.trim(c), r"\s+", " "))
-    old = events.filter("origin = 'automatic'").select("id", "scope_fingerprint", key(F.col("title")).alias("k"), "time_start", F.coalesce("time_end", "time_start").alias("until"), "status")
-    new = extracted.withColumn("k", key(F.col("title")))
+    old = events.filter("origin = 'automatic'").select("id", "scope_fingerprint", title_key("title").alias("k"), "time_start", F.coalesce("time_end", "time_start").alias("until"), "status")
+    new = extracted.withColumn("k", title_key("title"))
     over = (F.to_date("time_start") <= F.col("burst_end")) & (F.to_date("until") >= F.col("burst_start"))
     found = new.join(old, ["scope_fingerprint", "k"]).filter(over).groupBy("new_id").agg(F.max_by(F.struct("id", "status"), F.struct("time_start", "id")).alias("old"))
     placed = new.join(found, "new_id", "left").select(*[c for c in new.columns if c != "k"], F.col("old.id").alias("old_id"), F.col("old.status").alias("old_status"))
@@ -169,8 +182,15 @@ def manifest(pins: DataFrame, citations: DataFrame, metadata: DataFrame) -> Data
     return first.join(metadata.select("source_id", "title"), "source_id", "left").select("source_id", "title", "excerpt_hash", "at")
 
 
+def scope_fingerprint(scope: dict) -> str:
+    """``qs_`` and 16 hex digits of the scope's canonical JSON: keys in order, null fields left out, no spaces."""
+    text = json.dumps({k: v for k, v in scope.items() if v is not None}, sort_keys=True, separators=(",", ":"))
+    return "qs_" + hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
 def fingerprint(rows: DataFrame, *columns: str) -> DataFrame:
-    """One row: a fingerprint of the rows, whatever their order. Sums of two hashes of each row, so nothing is gathered."""
+    """One row: a fingerprint of the rows, whatever their order. Sums of two 64-bit hashes of each row, so nothing is gathered; two sets
+    of rows with the same number and the same two sums have the same fingerprint."""
     row = F.to_json(F.struct(*columns))
     total = lambda h: F.sum(h.cast("decimal(20,0)")).cast("string")
     parts = rows.select(F.xxhash64(row).alias("h1"), F.xxhash64(F.lit(1), row).alias("h2")).agg(F.count(F.lit(1)).cast("string").alias("n"), total(F.col("h1")).alias("s1"), total(F.col("h2")).alias("s2"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lettermill.operators.components import connected_components
+
 HUNKS = 200
 #: Amounts in a line (fixed value).
 AMOUNT = r"[$€£]?\s?\d[\d,.]*"
@@ -71,6 +73,17 @@ def families(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     return found.unionByName(own)
 
 
+def family_members(files: DataFrame) -> DataFrame:
+    """key, family: every file with the smallest key of its family. A family is what hangs together by the same stem and the same
+    sender or thread, so the rows grow with the files, not with the pairs. An empty stem has no family but itself."""
+    rows = files.select("key", "sender_address", "thread_id", filename_stem("filename").alias("stem"))
+    by = lambda kind, c: rows.filter((F.col("stem") != "") & F.col(c).isNotNull()).select("key", F.lit(kind).alias("kind"), "stem", F.col(c).alias("v"))
+    ties = by("s", "sender_address").unionByName(by("t", "thread_id"))
+    heads = ties.groupBy("kind", "stem", "v").agg(F.min("key").alias("head"))
+    edges = ties.join(heads, ["kind", "stem", "v"]).select("key", "head").unionByName(rows.select("key", F.col("key").alias("head")))
+    return connected_components(edges, "key", "head").select(F.col("node").alias("key"), F.col("component").alias("family"))
+
+
 def changed_lines(pairs: DataFrame) -> DataFrame:
     """key, added, removed: distinct lines that only one of two texts (old, new) has; built-in functions only."""
     lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,7 @@ ROUTES = {
     "text/x-vcard": "vcard",
     "application/x-iwork-pages-sffpages": "pages",
 }
+#: Buckets that are text already, and the least size of an image (fixed values).
 PASSTHROUGH = ("text", "html", "calendar", "csv", "json", "xml", "vcard")
 MIN_IMAGE_BYTES = 5 * 1024
 
@@ -109,10 +112,41 @@ def data_version(table: DataFrame, stamp: str = "created_at") -> str:
     return f"{r['n']}-{r['t']}"
 
 
+def data_versions(tables: dict[str, DataFrame], stamp: str = "created_at") -> DataFrame:
+    """name, version of several tables: the number of rows and the newest stamp, an aggregate a table."""
+    made = [t.agg(F.concat_ws("-", F.count(F.lit(1)), F.date_format(F.max(stamp), "yyyy-MM-dd HH:mm:ss")).alias("version")).select(F.lit(n).alias("name"), "version") for n, t in tables.items()]
+    return reduce(DataFrame.unionByName, made)
+
+
+def chosen_pending(pending: DataFrame, *, sample: int | None = None, limit: int | None = None, key: str = "sha256", seed: int = 0) -> DataFrame:
+    """A random sample of the pending rows, or the first by key, or all of them; ``sample`` goes before ``limit``."""
+    if sample is not None:
+        return pending.orderBy(F.rand(seed)).limit(sample)
+    return pending if limit is None else pending.orderBy(key).limit(limit)
+
+
+def report(mails: DataFrame, contents: DataFrame, topic_members: DataFrame) -> DataFrame:
+    """One row over the archive's health: messages, threads, undated, largest, extracted, failed, missing_vectors, topic_ratio, imports."""
+    m = mails.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("date").isNull()).alias("undated"), F.count_if(F.col("embedding").isNull()).alias("missing_vectors"), F.countDistinct("import_id").alias("imports"))
+    c = contents.agg(F.count_if(F.col("status") == "extracted").alias("extracted"), F.count_if(F.col("status") == "failed").alias("failed"))
+    t = topic_members.select("email_id").distinct().agg(F.count(F.lit(1)).alias("placed"))
+    rows = m.crossJoin(thread_sizes(mails).select("threads", "largest")).crossJoin(c).crossJoin(t)
+    ratio = F.when(F.col("messages") > 0, F.col("placed") / F.col("messages"))
+    return rows.select("messages", "threads", "undated", "largest", "extracted", "failed", "missing_vectors", ratio.alias("topic_ratio"), "imports")
+
+
+def passthrough_text(content: Column, bucket: Column) -> Column:
+    """The text of types that are text already, decoded as UTF-8; null for the others."""
+    return F.when(bucket.isin(*PASSTHROUGH), F.decode(content, "UTF-8"))
+
+
 def materialised(spark: SparkSession, root: str, key: str, version: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """The stored result of ``compute`` for this key and data version, computed once and read afterwards."""
     path = f"{root.rstrip('/')}/key={key}/version={version.replace(' ', '_').replace(':', '.')}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        compute().write.mode("overwrite").parquet(path)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

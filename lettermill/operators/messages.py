@@ -6,6 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lettermill.operators.predicates import in_range, message_filter, order_by, received_by
 
@@ -23,6 +24,33 @@ def by_ids(mails: DataFrame, ids: list[Any]) -> DataFrame:
     return asked.join(mails, "id").orderBy("pos")
 
 
+def thread(mails: DataFrame, thread_id: str) -> DataFrame:
+    """The messages of a thread, oldest first; null dates last, ties by id."""
+    return mails.filter(F.col("thread_id") == thread_id).orderBy(F.col("date").asc_nulls_last(), "id")
+
+
+def thread_of(mails: DataFrame, message_id: str) -> DataFrame:
+    """The whole thread of a message, oldest first; no rows for an unknown message."""
+    wanted = mails.filter(F.col("message_id") == message_id).select("thread_id").distinct()
+    return mails.join(wanted, "thread_id", "left_semi").orderBy(F.col("date").asc_nulls_last(), "id")
+
+
+def identities(imports: DataFrame, configured: list[str], account: str | None = None) -> DataFrame:
+    """address, pos: the owner's addresses: the configured ones in their order, then the accounts of ``imports`` (source_account).
+
+    ``account`` alone counts where it is given. Empty and repeated addresses count once or not at all; no address at all is an error.
+    """
+    given = [account] if account is not None else list(dict.fromkeys(a for a in configured if a))
+    own = imports.sparkSession.createDataFrame([(a, i) for i, a in enumerate(given)], "address string, pos int")
+    if account is not None:
+        return own
+    more = imports.select(F.col("source_account").alias("address")).filter("address <> ''").distinct().join(own, "address", "left_anti")
+    listed = own.unionByName(more.select("address", (F.row_number().over(Window.orderBy("address")) + (len(given) - 1)).alias("pos")))
+    if not given and more.isEmpty():
+        raise ValueError("no address is configured and no account is imported")
+    return listed
+
+
 def participants(mails: DataFrame, *keep: str) -> DataFrame:
     """One row for each (message, arm, recipient): ``keep`` columns, address, domain, arm."""
     arm = lambda a: F.transform(F.coalesce(F.col(f"recipients.{a}"), F.array().cast("array<string>")), lambda x: F.struct(F.lit(a).alias("recipient_type"), x.alias("recipient_address")))
@@ -73,12 +101,13 @@ def top_contacts(mails: DataFrame, me: DataFrame, *, direction: str = "both", gr
     ``group_by`` is address, domain or contact; the last needs ``contacts`` (address, contact_id), and unlinked addresses stay
     separate. Senders without an address drop out.
     """
-    tagged = _mine(mails.filter(in_range(F.col("date"), after, before)), me)
+    rows = mails.filter(in_range(F.col("date"), after, before))
     own = me.select(F.col("address")).distinct()
-    inbound = tagged.filter("not mine and sender_address is not null").select(F.col("sender_address").alias("address"))
-    outbound = participants(tagged.filter("mine"), "id").select(F.col("recipient_address").alias("address")).join(own, "address", "left_anti")
-    rows = {"inbound": inbound, "outbound": outbound, "both": inbound.unionByName(outbound)}[direction]
-    counts = rows.groupBy("address").agg(F.count(F.lit(1)).alias("messages"))
+    sent = rows.select(F.col("sender_address").alias("address")).filter("address is not null")
+    mine = rows.join(own.select(F.col("address").alias("sender_address")), "sender_address", "left_semi")
+    got = participants(mine).select(F.col("recipient_address").alias("address"))
+    both = {"inbound": sent, "outbound": got, "both": sent.unionByName(got)}[direction]
+    counts = both.groupBy("address").agg(F.count(F.lit(1)).alias("messages")).join(own, "address", "left_anti")
     domain = F.split_part("address", F.lit("@"), F.lit(2))
     if exclude_domains:
         counts = counts.filter(~domain.isin(exclude_domains))

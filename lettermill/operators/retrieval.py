@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lettermill.functions.vectors import cosine, literal, norm, normalised
+from lettermill.functions.vectors import cosine, dot, literal, norm, normalised
 from lettermill.operators.predicates import message_filter
 from lettermill.staging import staged
 
@@ -27,8 +27,10 @@ def usable(vector: str | Column = "embedding") -> Column:
 
 def semantic_search(mails: DataFrame, vector: list[float], *, limit: int = 20, offset: int = 0, **filters: Any) -> DataFrame:
     """The nearest messages that pass the filters, with ``similarity``; exact, in one pass."""
-    rows = mails.filter(message_filter(**filters)).filter(usable())
-    return rows.withColumn("similarity", cosine("embedding", literal(vector))).orderBy(F.desc("similarity"), "id").offset(offset).limit(limit)
+    size = float(np.linalg.norm(vector))
+    near = F.try_divide(dot("embedding", literal([x / size for x in vector] if size else vector)), norm("embedding") if size else F.lit(0.0))
+    rows = mails.filter(message_filter(**filters)).withColumn("similarity", near).filter("similarity is not null")
+    return rows.orderBy(F.desc("similarity"), "id").offset(offset).limit(limit)
 
 
 def chunk_search(chunks: DataFrame, contents: DataFrame, bridge: DataFrame, mails: DataFrame, vector: list[float], *, limit: int = 20, **filters: Any) -> DataFrame:
@@ -67,17 +69,23 @@ def without_duplicates(cards: DataFrame, order: list[Column], *key: str) -> Data
     return rows.filter("_n = 1").drop("_n")
 
 
-def hybrid_search(mails: DataFrame, term_filter: Column, vector: list[float] | None, *, mode: str = "hybrid", window: int = 500, limit: int = 25, offset: int = 0) -> DataFrame:
-    """Ranked search over a window of each list: exact (newest first), semantic, or both fused; without a vector it is exact."""
+def hybrid_search(mails: DataFrame, term_filter: Column, vector: list[float] | None, *, mode: str = "hybrid", window: int = 500, limit: int = 25, offset: int = 0, scope: Column | None = None, texts: DataFrame | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """Ranked search over a window of each list: exact (newest first), semantic, or both fused; without a vector it is exact.
+
+    ``texts`` (with id, date and what ``term_filter`` reads) and ``vectors`` (id, embedding) may lie apart from ``mails``, so that each list
+    reads its own columns only; ``scope`` narrows both lists before they are ranked and reads ``mails``.
+    """
     if mode not in ("exact", "semantic", "hybrid"):
         raise ValueError("mode must be exact, semantic or hybrid")
     if offset + limit > window:
         raise ValueError(f"only the first {window} results are ranked")
-    exact = ranked(mails.filter(term_filter).orderBy(F.col("date").desc_nulls_last(), "id").limit(window), F.col("date").desc_nulls_last(), F.asc("id")).select("id", "rank")
+    inside = lambda t: t if scope is None else t.join(mails.filter(scope).select("id"), "id", "left_semi")
+    texts, vectors = inside(mails if texts is None else texts), inside(mails if vectors is None else vectors)
+    exact = ranked(texts.filter(term_filter).select("id", "date").orderBy(F.col("date").desc_nulls_last(), "id").limit(window), F.col("date").desc_nulls_last(), F.asc("id")).select("id", "rank")
     if mode == "exact" or vector is None:
         scored = exact.withColumn("score", 1 / (RANK_OFFSET + F.col("rank")))
     else:
-        near = ranked(semantic_search(mails, vector, limit=window).select("id", "similarity"), F.desc("similarity"), F.asc("id")).select("id", "rank")
+        near = ranked(semantic_search(vectors, vector, limit=window).select("id", "similarity"), F.desc("similarity"), F.asc("id")).select("id", "rank")
         scored = fuse_lists(exact, near) if mode == "hybrid" else near.withColumn("score", 1 / (RANK_OFFSET + F.col("rank")))
     cards = mails.join(scored.select("id", "score"), "id")
     best = [F.desc("score"), F.asc("id")]

@@ -93,9 +93,14 @@ def query(view: DataFrame, spec: dict[str, Any], allowed: set[str] | None = None
             if grouped and s["field"] in ("body_text", "body_html"):
                 raise ValueError("bodies cannot be grouped")
             plain.append((_alias(s.get("as", s["field"])), field(s["field"])))
+    order = [(o["field"], o.get("dir", "asc").lower()) if isinstance(o, dict) else (o, "asc") for o in spec.get("order_by") or []]
+    if not order and not grouped and "date" in view.columns:
+        order = [("date", "desc")]
+    hidden: list[str] = []
     if not grouped:
         if plain:
-            out = rows.select(*(c.alias(n) for n, c in plain))
+            hidden = [n for n, _ in order if n not in dict(plain) and n in names]
+            out = rows.select(*(c.alias(n) for n, c in plain), *(F.col(n) for n in hidden))
         else:
             heavy = {"body_text", "body_html", "embedding"}
             out = rows.select(*(c for c in rows.columns if c not in heavy), *([F.left(F.col("body_text"), F.lit(500)).alias("body_preview")] if "body_text" in names else []))
@@ -112,11 +117,8 @@ def query(view: DataFrame, spec: dict[str, Any], allowed: set[str] | None = None
         out = total.filter(condition(spec["having"], result)) if spec.get("having") else total
         shown = [n for n, _ in plain if n in known] + [n for n, _ in made]
         out = out.select(*(shown or sorted(known)))
-    order = [(o["field"], o.get("dir", "asc").lower()) if isinstance(o, dict) else (o, "asc") for o in spec.get("order_by") or []]
-    if not order and not grouped and "date" in out.columns:
-        order = [("date", "desc")]
     for n, _ in order:
         if n not in out.columns:
             raise ValueError(f"cannot order by {n!r}")
     out = out.orderBy(*(F.col(n).desc_nulls_first() if d == "desc" else F.col(n).asc_nulls_last() for n, d in order)) if order else out
-    return out.offset(int(spec.get("offset", 0))).limit(min(int(spec.get("limit", DEFAULT_ROWS)), MAX_ROWS))
+    return out.offset(int(spec.get("offset", 0))).limit(min(int(spec.get("limit", DEFAULT_ROWS)), MAX_ROWS)).drop(*hidden)

@@ -150,16 +150,26 @@ def status_transitions(spark: SparkSession, d: str) -> DataFrame:
 
 FAMILY = (
     ", ranked AS (SELECT a.sha256, a.filename, e.id, e.sender_address, e.thread_id, row_number() OVER (PARTITION BY a.sha256 ORDER BY e.date DESC NULLS LAST, e.id DESC, a.filename) AS r FROM bridge a JOIN emails e ON e.id = a.email_id)"
-    ", f AS (SELECT id || ':' || sha256 AS key, sha256, regexp_replace(regexp_replace(lower(filename), '\\.pdf$', ''), '_v[0-9]+$', '') AS stem, e.sender_address, e.thread_id FROM bridge b JOIN emails e ON e.id = b.email_id WHERE e.id % 2 = 0)"
+    ", f AS (SELECT id || ':' || sha256 AS key, sha256, regexp_replace(regexp_replace(lower(filename), '\\.pdf$', ''), '_v[0-9]+$', '') AS stem, e.id, e.sender_address, e.thread_id FROM bridge b JOIN emails e ON e.id = b.email_id)"
 )
 
 
-@query(FAMILY + " SELECT a.key AS a, b.key AS b, CASE WHEN a.sha256 = b.sha256 THEN 'exact-duplicate' ELSE 'probable-version' END AS confidence FROM f a JOIN f b ON a.stem = b.stem AND (a.sender_address = b.sender_address OR a.thread_id = b.thread_id)")
+@query(FAMILY + " SELECT a.key AS a, b.key AS b, CASE WHEN a.sha256 = b.sha256 THEN 'exact-duplicate' ELSE 'probable-version' END AS confidence FROM f a JOIN f b ON a.stem = b.stem AND (a.sender_address = b.sender_address OR a.thread_id = b.thread_id) WHERE a.id % 100 = 0")
 def version_families(spark: SparkSession, d: str) -> DataFrame:
-    b = archive.bridge(archive.attachment_lines(spark, d))
-    m = archive.emails(spark, d).filter("id % 2 = 0").select(F.col("id").alias("email_id"), "sender_address", "thread_id")
-    rows = b.join(m, "email_id").select(F.concat_ws(":", "email_id", "sha256").alias("key"), "sha256", "filename", "sender_address", "thread_id")
-    return files.families(rows).select("a", "b", "confidence")
+    """A search: the files of every message whose id is divisible by 100 are asked for, against all files."""
+    rows = _family_files(spark, d)
+    return files.families(rows, asked=rows.filter("email_id % 100 = 0")).select("a", "b", "confidence")
+
+
+def _family_files(spark: SparkSession, d: str) -> DataFrame:
+    m = archive.emails(spark, d).select(F.col("id").alias("email_id"), "sender_address", "thread_id")
+    rows = archive.bridge(archive.attachment_lines(spark, d)).join(m, "email_id")
+    return rows.select("email_id", F.concat_ws(":", "email_id", "sha256").alias("key"), "sha256", "filename", "sender_address", "thread_id")
+
+
+@query()
+def file_families(spark: SparkSession, d: str) -> DataFrame:
+    return files.family_members(_family_files(spark, d)).select("key", "family")
 
 
 @query(FAMILY + " SELECT sha256, id AS email_id, filename FROM ranked WHERE r = 1")
@@ -290,9 +300,21 @@ def opaque_ids(spark: SparkSession, d: str) -> DataFrame:
     return archive.emails(spark, d).select("id", text.source_id("thread", F.col("thread_id")).alias("thread"), text.source_id("message", F.col("id")).alias("unpadded"))
 
 
-@query("SELECT b.id, md5(trim(regexp_replace(regexp_replace(b.body_text, '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'))) AS clean_md5 FROM bodies b WHERE b.id % 10 = 3 AND NOT regexp_matches(b.body_text, '(^|\\n)>|-----Original|\\n-- \\n')")
+CLEAN = (
+    ", q AS (SELECT id, string_split(CASE id % 4 WHEN 0 THEN '> said' || chr(10) ELSE '' END || coalesce(body_text, '') || CASE id % 5 WHEN 0 THEN chr(10) || '-- ' || chr(10) || 'me' WHEN 1 THEN chr(10) || ' -----Original Message-----  ' || chr(10) || 'old' WHEN 2 THEN chr(10) || '> quoted' ELSE '' END, chr(10)) AS l FROM bodies)"
+    ", s AS (SELECT id, l, list_position(list_transform(l, lambda x: trim(regexp_replace(x, '[\\t\\r]', ' ', 'g'), ' ')), '-----Original Message-----') AS stop FROM q)"
+    ", k AS (SELECT id, split_part(array_to_string(list_filter(CASE WHEN stop > 0 THEN l[1:stop - 1] ELSE l END, lambda x: NOT starts_with(x, '>')), chr(10)), chr(10) || '-- ' || chr(10), 1) AS t FROM s)"
+    ", e AS (SELECT id, array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '[ \\t\\n\\x0B\\f\\r]+$', '')), chr(10)) AS t FROM k)"
+)
+
+
+@query(CLEAN + " SELECT id, md5(regexp_replace(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g')) AS clean_md5 FROM e")
 def cleaned_bodies(spark: SparkSession, d: str) -> DataFrame:
-    rows = archive.with_bodies(archive.emails(spark, d).filter("id % 10 = 3"), spark, d).filter(~F.col("body_text").rlike(r"(^|\n)>|-----Original|\n-- \n"))
+    """Every body, with a quote, a quoted original or a signature added by the message's id."""
+    i = F.col("id")
+    tail = F.when(i % 5 == 0, "\n-- \nme").when(i % 5 == 1, "\n -----Original Message-----  \nold").when(i % 5 == 2, "\n> quoted").otherwise("")
+    said = F.concat(F.when(i % 4 == 0, "> said\n").otherwise(""), F.coalesce("body_text", F.lit("")), tail)
+    rows = archive.with_bodies(archive.emails(spark, d).select("id"), spark, d).withColumn("body_text", said)
     return rows.select("id", F.md5(text.clean_body("body_text")).alias("clean_md5"))
 
 

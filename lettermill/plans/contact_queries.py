@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.vectors import literal
 from lettermill.operators import contacts, retrieval, threads
-from lettermill.operators.predicates import mentions
+from lettermill.operators.predicates import mentions, scope_filter
 from lettermill.plans.registry import joined, query, ts
 from lettermill.sources import archive
 
@@ -203,8 +203,24 @@ f AS (SELECT coalesce(x.id, n.id) AS id, coalesce(1 / (60 + x.r), 0) + coalesce(
 u AS (SELECT e.id, s, count(*) OVER w - 1 AS suppressed, row_number() OVER (PARTITION BY subject, sender_address, date ORDER BY s DESC, e.id) AS k FROM f JOIN emails e ON e.id = f.id WINDOW w AS (PARTITION BY subject, sender_address, date))
 SELECT id, round(s, 9)::DOUBLE AS score, suppressed FROM u WHERE k = 1 ORDER BY s DESC, id LIMIT 25""")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    m = archive.with_vectors(archive.with_bodies(archive.emails(spark, d), spark, d), spark, d)
-    rows = retrieval.hybrid_search(m, mentions("thing"), _query_vector(spark, d), window=200)
+    m = archive.emails(spark, d)
+    texts = archive.with_bodies(m.select("id", "date", "subject"), spark, d)
+    rows = retrieval.hybrid_search(m, mentions("thing"), _query_vector(spark, d), window=200, texts=texts, vectors=archive.with_vectors(m.select("id"), spark, d))
+    return rows.select("id", F.round("score", 9).alias("score"), "suppressed")
+
+
+@query(f""", inside AS (SELECT id, subject, sender_address, date FROM emails WHERE date >= '1996-01-01' AND date < '1998-01-01' AND source_account IN ('acct0', 'acct1')),
+hit AS (SELECT e.* FROM inside e JOIN bodies b ON b.id = e.id WHERE contains(lower(body_text), 'thing') OR contains(lower(subject), 'thing')),
+x AS (SELECT id, row_number() OVER (ORDER BY date DESC NULLS LAST, id) AS r FROM hit QUALIFY r <= 100),
+n AS (SELECT id, row_number() OVER (ORDER BY list_cosine_similarity(v, {Q}) DESC, id) AS r FROM vectors JOIN inside USING (id) QUALIFY r <= 100),
+f AS (SELECT coalesce(x.id, n.id) AS id, coalesce(1 / (60 + x.r), 0) + coalesce(1 / (60 + n.r), 0) + CASE WHEN x.id IS NOT NULL AND n.id IS NOT NULL THEN 1 / 60 ELSE 0 END AS s FROM x FULL JOIN n ON n.id = x.id),
+u AS (SELECT e.id, s, count(*) OVER w - 1 AS suppressed, row_number() OVER (PARTITION BY subject, sender_address, date ORDER BY s DESC, e.id) AS k FROM f JOIN emails e ON e.id = f.id WINDOW w AS (PARTITION BY subject, sender_address, date))
+SELECT id, round(s, 9)::DOUBLE AS score, suppressed FROM u WHERE k = 1 ORDER BY s DESC, id LIMIT 25""")
+def scoped_search(spark: SparkSession, d: str) -> DataFrame:
+    m = archive.emails(spark, d)
+    scope = scope_filter(date_from="1996-01-01", date_to="1998-01-01", mailboxes=["acct0", "acct1"])
+    texts = archive.with_bodies(m.select("id", "date", "subject"), spark, d)
+    rows = retrieval.hybrid_search(m, mentions("thing"), _query_vector(spark, d), window=100, scope=scope, texts=texts, vectors=archive.with_vectors(m.select("id"), spark, d))
     return rows.select("id", F.round("score", 9).alias("score"), "suppressed")
 
 

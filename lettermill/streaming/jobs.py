@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -40,9 +41,11 @@ def store_new(path: str) -> Callable[[DataFrame, int], None]:
     def job(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates(["message_id"])
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        try:
             rows = rows.join(spark.read.schema(batch.schema).parquet(path).select("message_id"), "message_id", "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # else this is the first batch
+                raise
         rows.write.mode("append").parquet(path)
 
     return job
