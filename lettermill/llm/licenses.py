@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import math
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +66,6 @@ TERM = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 #: The part of a template's squared vector that the terms left out of the first bound may have.
 SLACK = 0.09
 MODEL = "array<struct<license_id:string,size:int,keys:array<struct<t:string,q:double>>,seeds:array<struct<t:string,p:int>>,terms:array<struct<t:string,idf:double,u:double>>>>"
-
-
 def _words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
@@ -90,13 +88,16 @@ def _models(templates: list[tuple[str, list[str]]], df: dict[str, int], n: int,
     return out
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _best(words: Column, models: list[dict], min_cosine: float) -> Column:
     """struct(cosine, size, license_id) of the best window of a file, null where none reaches ``min_cosine``."""
-    known = F.from_json(F.lit(json.dumps(models)), MODEL)
     keys = F.lit(sorted({k["t"] for m in models for k in m["keys"]}))
-    held = F.array_intersect(words, keys)
-    enough = lambda m: F.aggregate(m["keys"], F.lit(0.0), lambda s, k: s + F.when(F.array_contains(held, k["t"]), k["q"]).otherwise(0.0)) >= min_cosine**2 - SLACK
-    found = F.when(F.size(held) > 0, F.filter(known, enough))
+    enough = lambda m, held: F.aggregate(m["keys"], F.lit(0.0), lambda s, k: s + F.when(F.array_contains(held, k["t"]), k["q"]).otherwise(0.0)) >= min_cosine**2 - SLACK
+    found = _once(F.array_intersect(words, keys), lambda held: F.filter(F.from_json(F.lit(json.dumps(models)), MODEL), lambda m: enough(m, held)))
     places = lambda t: F.filter(F.transform(words, lambda w, i: F.when(w == t, i)), lambda i: i.isNotNull())
     starts = lambda m: F.array_distinct(F.flatten(F.transform(m["seeds"], lambda s: F.transform(places(s["t"]), lambda i: i - s["p"]))))
     cut = lambda a, m: F.slice(words, F.greatest(a, F.lit(0)) + 1, m["size"] + F.least(a, F.lit(0)))
@@ -116,13 +117,13 @@ def _scanned(files: DataFrame, templates: DataFrame, min_cosine: float, max_temp
     given = templates.select("license_id", _words("text").alias("words")).filter("size(words) > 0").limit(max_templates + 1).collect()
     if len(given) > max_templates:
         raise ValueError(f"more than {max_templates} templates")
-    texts = files.filter("text is not null")
+    texts = staged(files.filter("text is not null").select("path", _words("text").alias("words")), "words")
     known = [(r["license_id"], list(r["words"])) for r in given]
     vocabulary = sorted({t for _, words in known for t in words})
-    seen = texts.select(F.explode(F.array_intersect(_words("text"), F.lit(vocabulary))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")) if known else None
+    seen = texts.select(F.explode(F.array_intersect("words", F.lit(vocabulary))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")) if known else None
     df = {r["term"]: r["n"] for r in seen.collect()} if known else {}  # at most the templates' terms
     best = _best(F.col("words"), _models(known, df, texts.count(), min_cosine), min_cosine) if known else F.lit(None).cast("struct<cosine:double,size:int,license_id:string>")
-    found = texts.select("path", _words("text").alias("words")).select("path", best.alias("b")).filter("b is not null")
+    found = staged(texts.select("path", best.alias("b")), "found").filter("b is not null")
     return found.groupBy("path").agg(F.max("b").alias("b")).select("path", "b.license_id", "b.cosine")
 
 

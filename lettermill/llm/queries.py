@@ -11,7 +11,7 @@ from lettermill.llm.bpe import encode
 from lettermill.llm.chat import chat_digests, chat_windows
 from lettermill.llm.decontamination import benchmark_leaks
 from lettermill.llm.language import language_id
-from lettermill.llm.licenses import license_scan
+from lettermill.llm.licenses import SLACK, TEMPLATES, TERM, license_scan
 from lettermill.llm.line_dedup import line_dedup
 from lettermill.llm.near_dup import near_duplicates
 from lettermill.llm.quality_model import quality_scores
@@ -82,7 +82,30 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup)}
 
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_licenses": rf"""
+WITH tw AS (SELECT row_number() OVER () AS m, license_id, regexp_extract_all(lower(text), '{TERM}') AS w FROM (VALUES {_TEMPLATE_ROWS}) v(license_id, text)),
+tt AS (SELECT m, license_id, len(w) AS size, term, len(list_filter(w, lambda y: y = term)) AS n, list_position(w, term) - 1 AS p FROM (SELECT *, unnest(list_distinct(w)) AS term FROM tw)),
+files AS (SELECT doc_id, regexp_extract_all(lower(text), '{TERM}') AS w FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(*) AS files FROM files),
+occ AS (SELECT * FROM (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS at FROM files) WHERE term IN (SELECT term FROM tt)),
+df AS (SELECT term, count(DISTINCT doc_id) AS held FROM occ GROUP BY 1),
+weighed AS (SELECT tt.*, ln((1 + files) / (1 + coalesce(held, 0))) + 1 AS idf FROM tt CROSS JOIN total LEFT JOIN df ON df.term = tt.term),
+unit AS (SELECT *, (1 + ln(n)) * idf AS x, (1 + ln(n)) * idf / sqrt(sum(pow((1 + ln(n)) * idf, 2)) OVER (PARTITION BY m)) AS u FROM weighed),
+r AS (SELECT *, sum(u * u) OVER (PARTITION BY m ORDER BY x DESC, term ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM unit),
+cand AS (SELECT o.doc_id, m FROM (SELECT DISTINCT doc_id, term FROM occ) o JOIN r ON r.term = o.term WHERE rest >= {SLACK} GROUP BY 1, 2 HAVING sum(u * u) >= 0.36 - {SLACK}),
+starts AS (SELECT DISTINCT o.doc_id, r.m, o.at - r.p AS s, r.size FROM occ o JOIN r ON r.term = o.term JOIN cand c ON c.doc_id = o.doc_id AND c.m = r.m WHERE rest >= 0.36),
+win AS (SELECT t.doc_id, m, s, list_slice(w, greatest(s, 0) + 1, s + size) AS words FROM starts t JOIN files f ON f.doc_id = t.doc_id),
+counted AS (SELECT doc_id, m, s, size, license_id, len(words) AS long, idf, u, len(list_filter(words, lambda x: x = term)) AS held FROM (SELECT win.*, r.size, r.license_id, r.term, r.idf, r.u FROM win JOIN r ON r.m = win.m)),
+scored AS (SELECT doc_id, license_id, size, round(sum(CASE WHEN held > 0 THEN (1 + ln(held)) * idf * u ELSE 0 END) / sqrt(sum(CASE WHEN held > 0 THEN pow((1 + ln(held)) * idf, 2) - held ELSE 0 END) + any_value(long)), 9) AS cosine FROM counted GROUP BY doc_id, m, s, license_id, size),
+own AS (SELECT doc_id, first(license_id ORDER BY cosine DESC, size DESC, license_id DESC) AS license_id, max(cosine) AS cosine FROM scored WHERE cosine >= 0.6 GROUP BY 1),
+paths AS (SELECT doc_id, concat_ws('/', source, doc_id // 1000, doc_id // 100) AS dir, concat_ws('/', source, doc_id // 1000, doc_id // 100, CASE WHEN doc_id % 10 = 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END) AS path FROM documents),
+near AS (SELECT dir, first(license_id ORDER BY cosine DESC, license_id DESC) AS dir_license FROM paths JOIN own USING (doc_id) WHERE doc_id % 10 = 0 GROUP BY 1)
+SELECT path, p.doc_id, coalesce(license_id, dir_license) AS license_id, cosine, CASE WHEN license_id IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' END AS how, CASE WHEN license_id IS NULL AND dir_license IS NOT NULL THEN p.dir END AS from_dir
+FROM paths p LEFT JOIN own o ON o.doc_id = p.doc_id LEFT JOIN near n ON n.dir = p.dir
+""",
     "op2_line_dedup": """
 WITH lines AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 keyed AS (SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),

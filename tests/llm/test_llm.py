@@ -63,6 +63,14 @@ def test_bpe_equals_library(spark, tokenizer):
     assert bpe.encode(docs_of(spark, []), queries.vocabulary()).count() == 0
 
 
+def test_bpe_of_spaces_at_pack_ends(spark, tokenizer):
+    """CRLF, tabs and ideographic spaces where packs of pre-tokens end."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(["漢字" * rng.randrange(1, 9), "\r\n\r\n", "\t\t", "\u3000\u3000", "\r\n", "a\u3000"]) for _ in range(400)) for _ in range(6)]
+    for r in bpe.encode(docs_of(spark, list(enumerate(texts))), queries.vocabulary(), piece_chars=50).collect():
+        assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
 def test_seam_joins(tokenizer):
     coder, rng = bpe.Vocabulary(queries.vocabulary()).encoding(), random.Random(2)
     for _ in range(300):
@@ -84,6 +92,18 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_identity(spark):
+    """A doc_id counts once whatever its texts, rows without one count as no document; as the oracle has it."""
+    rows = [(i, "shared\nown") for i in range(8)] + [(None, "shared"), (8, "shared\na"), (8, "shared\nb")]
+    out = line_dedup.line_dedup(docs_of(spark, rows), min_docs=10).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_dropped"]) for r in out) == sorted((d is None, d or 0, 0) for d, _ in rows)
+    out = line_dedup.line_dedup(docs_of(spark, [*rows, (9, "SHARED")]), min_docs=10).collect()
+    assert all(r["n_dropped"] == 1 and "shared" not in r["text"] for r in out)
+    many = [(i, "\n".join(f"{i} {k}" for k in range(40)) + "\nhot") for i in range(60)] + [(99, "long\n" * 20000)]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup.line_dedup(docs_of(spark, many), min_docs=10).collect()}
+    assert out == {i: 1 for i in range(60)} | {99: 0}
+
+
 def test_line_dedup_oracle(spark, sf_dir):
     import duckdb
 
@@ -137,6 +157,75 @@ def test_licenses_find_every_notice(spark, sf_dir):
     assert {r["doc_id"] for r in out.filter("how = 'own'").collect()} == {r["doc_id"] for r in docs.filter(notice).collect()}
 
 
+def test_licenses_oracle(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    rel = con.execute(queries.ORACLE_SQL["op3_licenses"])
+    names = [d[0] for d in rel.description]
+    want = {r[names.index("doc_id")]: {n: v for n, v in zip(names, r)} for r in rel.fetchall()}
+    got = {r["doc_id"]: r.asDict() for r in queries.op3_licenses(spark, sf_dir).collect()}
+    assert got == want and any(r["how"] == "own" for r in got.values())
+
+
+def test_licenses_of_whole_texts(spark):
+    """Whole licence texts where the machine has them, and short ones by hand; a version decides."""
+    from pathlib import Path
+
+    here = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0"}
+    texts = {v: p.read_text() for k, v in here.items() if (p := Path("/usr/share/common-licenses") / k).exists()}
+    text = dict(licenses.TEMPLATES)
+    for name in ("BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Zlib"):
+        texts[name] = f"{name} License\n\nCopyright (c) 2020, Someone Else\n\n" + textwrap.fill(text[name], 70) + "\n\nIN NO EVENT SHALL THEY BE LIABLE FOR ANY DAMAGES.\n"
+    files = [(f"{k}/LICENSE", t) for k, t in texts.items()]
+    files += [(f"long/{k}.c", "word line\n" * 3000 + t + "other words\n" * 3000) for k, t in list(texts.items())[-3:]]
+    out = {r["path"]: r["license_id"] for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert out == {p: p.split("/")[-1].removesuffix(".c") if p.startswith("long") else p.split("/")[0] for p, _ in files}
+    assert {r["license_id"] for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string"), licenses.default_templates(spark).limit(0)).collect()} == {None}
+
+
+def test_licenses_against_all_windows(spark):
+    """Fifty files by brute force: windows at every place of every heavy term, without the first bound."""
+    rng = random.Random(3)
+    words = lambda t: re.findall(licenses.TERM, t.lower())
+    fill = [w for _, t in licenses.TEMPLATES for w in words(t)] + ["".join(rng.choice("abcd") for _ in range(4)) for _ in range(400)]
+    files = []
+    for i in range(50):
+        body = [rng.choice(fill) for _ in range(rng.randrange(5, 120))]
+        if i % 2:
+            notice = words(rng.choice(licenses.TEMPLATES)[1])
+            at = rng.randrange(len(body))
+            body[at:at] = [w for w in notice if rng.random() > 0.1 * (i % 3)]
+        files.append((f"f{i}", " ".join(body)))
+    n, sets = len(files), [set(words(t)) for _, t in files]
+    want = {}
+    for path, t in files:
+        w, best = words(t), []
+        for name, template in licenses.TEMPLATES:
+            v = words(template)
+            idf = {x: np.log((1 + n) / (1 + sum(x in s for s in sets))) + 1 for x in v}
+            u = {x: (1 + np.log(v.count(x))) * idf[x] for x in idf}
+            size = np.sqrt(sum(x * x for x in u.values()))
+            heavy, left = [], 1.0
+            for x in sorted(u, key=lambda x: (-u[x], x)):
+                if left >= 0.36 - 1e-12:
+                    heavy.append(x)
+                left -= (u[x] / size) ** 2
+            for x in heavy:
+                for i in (i for i, y in enumerate(w) if y == x):
+                    a = i - v.index(x)
+                    c = Counter(w[max(a, 0) : a + len(v)])
+                    dot = sum((1 + np.log(k)) * idf[y] * u[y] / size for y, k in c.items() if y in u)
+                    square = sum(((1 + np.log(k)) * idf[y]) ** 2 if y in u else k for y, k in c.items())
+                    best.append((round(float(dot / np.sqrt(square)), 9), len(v), name))
+        best = max(best, default=(0, 0, None))
+        want[path] = (best[2], best[0]) if best[0] >= 0.6 else (None, None)
+    got = {r["path"]: (r["license_id"], r["cosine"]) for r in licenses.license_scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: v[0] for p, v in got.items()} == {p: v[0] for p, v in want.items()} and sum(v[0] is not None for v in want.values()) > 20
+    assert all(v[1] is None or abs(v[1] - got[p][1]) < 1e-8 for p, v in want.items())
+
+
 # 4
 def test_chat(spark):
     rng = random.Random(4)
@@ -229,6 +318,33 @@ def test_language(spark, documents):
     assert language.language_id(documents.limit(0)).count() == 0
 
 
+def test_language_learns_from_no_row_without_id(spark, documents):
+    """Rows with a null doc_id change no score, whatever they say."""
+    some = documents.select("doc_id", "text", "lang")
+    noise = spark.createDataFrame([(None, "zzz qqq xxx " * 50, "xx")] * 40, "doc_id long, text string, lang string")
+    score = lambda d: {r["doc_id"]: (r["lang_pred"], round(r["score"], 6)) for r in language.language_id(d).filter("doc_id is not null").collect()}
+    assert score(some) == score(some.unionByName(noise))
+
+
+def test_language_vectors_and_chances():
+    """TF-IDF vectors and softmax of a model by plain loops."""
+    bits, rng = 10, np.random.default_rng(2)
+    m = language.LanguageModel(["a", "b", "c"], rng.random(1 << bits).astype(np.float32) + 1, rng.normal(size=(1 << bits, 3)).astype(np.float32), 1.7, bits)
+    text = "Größe, ab 12!"
+    points = [32, *map(ord, "größe ab ")]
+    counts = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(points) - n + 1):
+            code = (n << 60) * (n < 3) + sum(p << (21 * j) for j, p in enumerate(points[i : i + n]))
+            counts[(code % 2**64) * 0x9E3779B97F4A7C15 % 2**64 >> (64 - bits)] += 1
+    x = {k: (1 + np.log(v)) * m.idf[k] for k, v in counts.items()}
+    size = np.sqrt(sum(v * v for v in x.values()))
+    z = [sum(v / size * m.weights[k, j] for k, v in x.items()) / 1.7 for j in range(3)]
+    p = np.exp(z) / np.exp(z).sum()
+    name, score = m.predict(text)
+    assert name == "abc"[int(p.argmax())] and score == pytest.approx(p.max(), rel=1e-4)
+
+
 # 8
 def test_decontamination(spark):
     rng = random.Random(8)
@@ -296,6 +412,16 @@ def test_common_subsequence():
 
 
 # 9
+def test_toxicity_scores_by_pairs():
+    """The machine's odds against a sum over all pairs."""
+    rng = np.random.default_rng(4)
+    m = toxicity.Machine(0.3, rng.normal(size=64), rng.normal(size=(64, 4)))
+    for n in (0, 1, 2, 20):
+        at = rng.permutation(64)[:n]
+        pairs = sum(m.factors[i] @ m.factors[j] for k, i in enumerate(at) for j in at[k + 1 :])
+        assert m.odds(at) == pytest.approx(0.3 + m.weights[at].sum() + pairs)
+
+
 def test_toxicity_learns_pairs():
     """Either word alone is toxic, both or none are not: no linear weights can tell."""
     rng, rows, y = np.random.default_rng(1), [], []
@@ -375,6 +501,29 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def test_near_duplicates_of_several_texts(spark):
+    """Rows that repeat a doc_id with other texts are one document, linked by each of them, in any order of the rows."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (9, "something else"), (9, a), (12, None)]
+    for data in (rows, rows[::-1]):
+        out = near_dup.near_duplicates(docs_of(spark, data)).collect()
+        assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in out) == [(5, 5, True), (5, 5, True), (6, 5, False), (7, 5, False), (9, 5, False), (9, 5, False), (12, 12, True)]
+
+
+def test_near_duplicates_in_many_blocks(spark):
+    """Members that no hub links, in one bucket of many blocks: a long chain of small changes around a common text."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for p in rng.sample(range(100), 2 + i % 4):
+            w[p] = f"x{i}-{p}"
+        rows.append((i, " ".join(w)))
+    out = near_dup.near_duplicates(docs_of(spark, rows), rows=1, bands=8, block_rows=16).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows)
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(3)
     for shared in (60, 75, 90):
