@@ -249,6 +249,33 @@ def test_chat(spark):
     assert chat.chat_digests(chat.chat_windows(df.limit(0))).count() == 0
 
 
+def windows_of(turns, budget, history):
+    """Brute force over one conversation's turns (role, text) in order: (context, own) index lists of each window."""
+    size = [-(-(len(r.encode()) + len(t.encode())) // 4) + 4 for r, t in turns]
+    system = next((i for i, t in enumerate(turns) if t[0] == "system"), None)
+    half = max(1, max(1, budget - history - (size[system] if system is not None else 0)) // 2)
+    at = [sum(size[:i]) for i in range(len(turns))]
+    spans: dict = {}
+    for i in range(len(turns)):
+        spans.setdefault((at[i] // half, 2 * sum(n > half for n in size[:i]) + (size[i] > half)), []).append(i)
+    for own in spans.values():
+        rule = [system] if system is not None and system < own[0] else []
+        yield rule + [i for i in range(own[0]) if [i] != rule and at[own[0]] - at[i] <= history], own
+
+
+def test_chat_windows_equal_brute_force_over_blocks(spark):
+    rng = random.Random(9)
+    talks = {c: [(rng.choice(["user", "assistant", "system"]) if i > 3 else "user", "w" * rng.choice([0, 3, 40, 200, 1500])) for i in range(n)] for c, n in ((0, 300), (1, 1), (2, 40))}
+    talks[2] = [("user", t) for _, t in talks[2]]
+    df = spark.createDataFrame([(c or None, 3 * i, r, t) for c, turns in talks.items() for i, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    say = lambda turns, part: "".join(f"<|im_start|>{turns[i][0]}\n{turns[i][1]}<|im_end|>\n" for i in part)
+    for budget, history in ((400, 100), (900, 0)):
+        expected = sorted((c, say(turns, context + own), len(context), len(own)) for c, turns in talks.items() for context, own in windows_of(turns, budget, history))
+        for block_turns in (7, 256):
+            w = chat.chat_windows(df, budget=budget, history=history, block_turns=block_turns).collect()
+            assert sorted((r["conv_id"] or 0, r["text"], r["n_context"], r["n_turns"]) for r in w) == expected
+
+
 # 5, 6
 def count_all(t):
     words = WORD.findall(t)
