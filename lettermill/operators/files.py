@@ -84,6 +84,21 @@ def family_members(files: DataFrame) -> DataFrame:
     return connected_components(edges, "key", "head").select(F.col("node").alias("key"), F.col("component").alias("family"))
 
 
+def versions(texts: DataFrame, group: str, block_ids: int = 1 << 16) -> DataFrame:
+    """key, new, old: each text of (key, text, ``group``) beside the one of the next smaller key of its group; the first has none.
+
+    Keys are distinct integers; rows without a key are left out. Keys alone are put in order, in blocks, so that a group of any
+    size is dealt to many tasks; texts then join by key.
+    """
+    ids = texts.filter("key is not null").select(F.col(group).alias("g"), "key", F.floor(F.col("key") / block_ids).alias("block"))
+    ends = ids.groupBy("g", "block").agg(F.max("key").alias("last"))
+    ends = ends.select(F.col("g").alias("eg"), F.col("block").alias("eb"), F.lag("last").over(Window.partitionBy("g").orderBy("block")).alias("before"))
+    ids = ids.withColumn("lag", F.lag("key").over(Window.partitionBy("g", "block").orderBy("key")))
+    ids = ids.join(ends, F.col("g").eqNullSafe(F.col("eg")) & (F.col("block") == F.col("eb"))).select("key", F.coalesce("lag", "before").alias("old_key")).filter("old_key is not null")
+    old = texts.select(F.col("key").alias("old_key"), F.col("text").alias("old"))
+    return ids.join(texts.select("key", F.col("text").alias("new")), "key").join(old, "old_key").select("key", "new", "old")
+
+
 def changed_lines(pairs: DataFrame) -> DataFrame:
     """key, added, removed: distinct lines that only one of two texts (old, new) has; built-in functions only."""
     lines = lambda c: F.split(F.coalesce(c, F.lit("")), "\n", -1)

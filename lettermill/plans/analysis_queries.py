@@ -197,10 +197,8 @@ def changed_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
     """Each document beside the one before it of the same source."""
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return archive.read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("new"), F.lag("text").over(w).alias("old")).filter("old is not null")
+    docs = archive.read(spark, d, "documents").select(F.col("doc_id").alias("key"), "source", "text")
+    return files.versions(docs, "source").filter("old is not null")
 
 
 @query()

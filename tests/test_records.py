@@ -41,3 +41,12 @@ def test_identities_and_scopes(spark):
         messages.identities(none, [])
     one = events.scope_fingerprint({"b": 1, "a": ["x"], "c": None})
     assert one == events.scope_fingerprint({"a": ["x"], "b": 1}) and one.startswith("qs_") and len(one) == 19
+
+
+def test_versions_over_blocks(spark):
+    rows = [(k, g, t) for k, g, t in zip([1, 5, 9, 40, 41, 2, 900, None], ["a", "a", "a", "a", None, None, None, "a"], ["p", "q", None, "r", "s", "", "u", "v"])]
+    df = spark.createDataFrame(rows, "key long, g string, text string")
+    for block_ids in (4, 1 << 16):
+        got = {r["key"]: (r["new"], r["old"]) for r in files.versions(df, "g", block_ids).collect()}
+        assert got == {5: ("q", "p"), 9: (None, "q"), 40: ("r", None), 41: ("s", ""), 900: ("u", "s")}
+    assert files.versions(df.limit(0), "g").count() == 0
