@@ -2,7 +2,8 @@
 
 Document frequencies come from all training documents: every task sums its own and Spark adds the parts up. The weights are
 fitted in one task by follow-the-regularised-leader (FTRL-proximal) with elastic-net penalties, on a bounded sample of
-training documents, then calibrated by a temperature on sampled documents that the fit has not seen. Scoring is one Arrow pass.
+training documents whose texts become counted grams before they move, so a very long one is no larger than the number of buckets;
+then they are calibrated by a temperature on sampled documents that the fit has not seen. Scoring is one Arrow pass.
 """
 
 from __future__ import annotations
@@ -50,8 +51,8 @@ class LanguageModel:
     temperature: float
     bits: int
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at, counts = grams(text, self.bits)
+    def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, TF-IDF weight) of counted grams, of unit length."""
         x = (1 + np.log(counts)) * self.idf[at]
         return at, x / max(float(np.sqrt(x @ x)), 1e-12)
 
@@ -63,7 +64,7 @@ class LanguageModel:
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not LETTER.search(text) or not self.languages:
             return "und", 0.0
-        p = self.chances(*self.vector(text))
+        p = self.chances(*self.vector(*grams(text, self.bits)))
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
@@ -120,22 +121,30 @@ def train_language(docs: DataFrame, *, folds: int, held_out: int, max_train_rows
     counts, n = frequencies(learn, bits)
     idf = (np.log((1 + n) / (1 + counts)) + 1).astype(np.float32)
     ids = staged(bounded_sample(learn.select("doc_id").distinct(), max_train_rows, seed), "sample")
-    sample = learn.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("r")).select("doc_id", "r.*")  # bounded by max_train_rows
+    kept = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("grams", pa.binary())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small(batches):
+            made = [np.stack(grams(t, bits)).astype("<i4").tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.binary())], schema=kept)
+
+    bags = learn.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text").mapInArrow(counted, "doc_id long, lang string, grams binary")
+    sample = bags.groupBy("doc_id").agg(F.min(F.struct("lang", "grams")).alias("r")).select("doc_id", "r.*")  # max_train_rows rows of at most 2 ** bits grams
     blank = LanguageModel([], idf, np.zeros((1 << bits, 0), np.float32), 1.0, bits)
     schema = pa.schema([("languages", pa.list_(pa.string())), ("weights", pa.binary()), ("temperature", pa.float64())])
 
     def fit(group: pa.Table) -> pa.Table:
-        rows = sorted(zip(group["doc_id"].to_pylist(), group["text"].to_pylist(), group["lang"].to_pylist()))
-        languages = sorted({r[2] for r in rows})
-        vectors = [blank.vector(r[1]) for r in rows]
-        marks = np.array([languages.index(r[2]) for r in rows])
+        rows = sorted(zip(group["doc_id"].to_pylist(), group["lang"].to_pylist(), group["grams"].to_pylist()))
+        languages = sorted({r[1] for r in rows})
+        vectors = [blank.vector(*np.frombuffer(r[2], "<i4").reshape(2, -1)) for r in rows]
+        marks = np.array([languages.index(r[1]) for r in rows])
         aside = np.array([i % 5 == 4 for i in range(len(rows))])
         seen = np.flatnonzero(~aside)
         w = ftrl([vectors[i] for i in seen], marks[seen], len(languages), 1 << bits, rate=rate, l1=l1, l2=l2, epochs=epochs, seed=seed)
         scores = np.array([vectors[i][1] @ w[vectors[i][0]] for i in np.flatnonzero(aside)]).reshape(-1, len(languages))
         return pa.table({"languages": [languages], "weights": [w.tobytes()], "temperature": [temperature_of(scores, marks[aside])]}, schema=schema)
 
-    made = sample.groupBy(F.lit(1).alias("all")).applyInArrow(lambda g: fit(g.select(["doc_id", "text", "lang"])), "languages array<string>, weights binary, temperature double").collect()
+    made = sample.groupBy(F.lit(1).alias("all")).applyInArrow(lambda g: fit(g.select(["doc_id", "lang", "grams"])), "languages array<string>, weights binary, temperature double").collect()
     if not made:
         return blank
     r = made[0]
