@@ -133,10 +133,32 @@ def search(cards: DataFrame, *, text: str | None = None, kind: str | None = None
     return rows.withColumn("rank_key", volume.cast("double"))
 
 
-def merge_candidates(book: DataFrame, *, min_messages: int = 2) -> DataFrame:
-    """id_a, id_b, name_key, volume: contacts that share a name, each with enough messages and not only the owner."""
+def _named(book: DataFrame, min_messages: int) -> DataFrame:
+    """contact_id, n, name_key: a row for each name of each contact with enough messages that is not only the owner."""
     cards = rollup(book).filter(f"not only_user and messages_from + messages_to >= {min_messages}")
-    keyed = cards.select("contact_id", (F.col("messages_from") + F.col("messages_to")).alias("n"), F.explode("name_variants").alias("name")).select("contact_id", "n", name_key("name").alias("name_key")).filter("name_key <> ''").distinct()
+    keys = cards.select("contact_id", (F.col("messages_from") + F.col("messages_to")).alias("n"), F.explode("name_variants").alias("name"))
+    return keys.select("contact_id", "n", name_key("name").alias("name_key")).filter("name_key <> ''").distinct()
+
+
+def merge_groups(book: DataFrame, *, min_messages: int = 2) -> DataFrame:
+    """name_key, contact_id, representative, members, volume: the contacts of each name that two or more share.
+
+    The representative is the contact with the most messages, ties by id; ``volume`` adds up its messages and the contact's (its own
+    once). As many rows as there are names of contacts, however many share one: the form of ``merge_candidates`` for large archives.
+    """
+    keyed = _named(book, min_messages)
+    groups = keyed.groupBy("name_key").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct((-F.col("n")).alias("less"), "contact_id")).alias("top")).filter("members > 1")
+    rows = keyed.join(groups, "name_key")
+    volume = F.when(F.col("contact_id") == F.col("top.contact_id"), F.col("n")).otherwise(F.col("n") - F.col("top.less"))
+    return rows.select("name_key", "contact_id", F.col("top.contact_id").alias("representative"), "members", volume.alias("volume"))
+
+
+def merge_candidates(book: DataFrame, *, min_messages: int = 2) -> DataFrame:
+    """id_a, id_b, name_key, volume: contacts that share a name, each with enough messages and not only the owner.
+
+    Every pair of a name has a row, so a name that many contacts share has many; ``merge_groups`` has a row a contact.
+    """
+    keyed = _named(book, min_messages)
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.name_key") == F.col("b.name_key")) & (F.col("a.contact_id") < F.col("b.contact_id")))
     return pairs.groupBy(F.col("a.contact_id").alias("id_a"), F.col("b.contact_id").alias("id_b")).agg(F.min("a.name_key").alias("name_key"), F.max(F.col("a.n") + F.col("b.n")).alias("volume"))

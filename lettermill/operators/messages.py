@@ -99,14 +99,19 @@ def top_contacts(mails: DataFrame, me: DataFrame, *, direction: str = "both", gr
     """key, messages: inbound counts messages by their sender, outbound every (message, arm) by its recipient; both adds them up.
 
     ``group_by`` is address, domain or contact; the last needs ``contacts`` (address, contact_id), and unlinked addresses stay
-    separate. Senders without an address drop out.
+    separate. Senders and recipients without an address drop out. The messages are read once, whatever the direction.
     """
+    if direction not in ("inbound", "outbound", "both"):
+        raise ValueError("direction must be inbound, outbound or both")
     rows = mails.filter(in_range(F.col("date"), after, before))
     own = me.select(F.col("address")).distinct()
-    sent = rows.select(F.col("sender_address").alias("address")).filter("address is not null")
-    mine = rows.join(own.select(F.col("address").alias("sender_address")), "sender_address", "left_semi")
-    got = participants(mine).select(F.col("recipient_address").alias("address"))
-    both = {"inbound": sent, "outbound": got, "both": sent.unionByName(got)}[direction]
+    none = F.array().cast("array<string>")
+    met = F.array("sender_address") if direction != "outbound" else none
+    if direction != "inbound":
+        rows = _mine(rows, own)
+        arms = F.concat(*(F.coalesce(F.col(f"recipients.{a}"), none) for a in ("to", "cc", "bcc")))
+        met = F.concat(met, F.when(F.col("mine"), arms).otherwise(none))
+    both = rows.select(F.explode(met).alias("address")).filter("address is not null")
     counts = both.groupBy("address").agg(F.count(F.lit(1)).alias("messages")).join(own, "address", "left_anti")
     domain = F.split_part("address", F.lit("@"), F.lit(2))
     if exclude_domains:

@@ -48,8 +48,10 @@ def ranked(rows: DataFrame, *order: Column, by: str | None = None) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by if by else F.lit(1)).orderBy(*order)))
 
 
-def fuse_sources(lists: DataFrame, *, limit: int = 20) -> DataFrame:
-    """Reciprocal rank fusion of rows (source, id, similarity) that stand apart in each source."""
+def fuse_sources(lists: DataFrame, *, limit: int = 20, sources: list[str] | None = None) -> DataFrame:
+    """Reciprocal rank fusion of rows (source, id, similarity) that stand apart in each source; ``sources`` chooses among them."""
+    if sources is not None:
+        lists = lists.filter(F.col("source").isin(sources))
     scored = ranked(lists, F.desc("similarity"), F.asc("id"), by="source").withColumn("score", 1 / (RANK_OFFSET + F.col("rank")))
     return scored.orderBy(F.desc("score"), F.desc("similarity"), "source", "id").limit(limit)
 
@@ -124,6 +126,12 @@ def diverse_sample(mails: DataFrame, key: str, k: int, *, pool: int = 500) -> Da
     return rows.groupBy(key).applyInPandas(pick, f"`{key}` {key_type}, id {id_type}, pick int")
 
 
+def diverse_overall(mails: DataFrame, k: int, *, pool: int = 500) -> DataFrame:
+    """id, pick: up to ``k`` messages of all rows that lie far apart, by the rules of ``diverse_sample`` over the ``pool`` newest."""
+    newest = mails.select("id", "date", "embedding").orderBy(F.col("date").desc_nulls_last(), "id").limit(pool)
+    return diverse_sample(newest.withColumn("one", F.lit(1)), "one", k, pool=pool).select("id", "pick")
+
+
 class VectorCells:
     """Approximate search: vectors lie in k-means cells, a query reads the nearest few; ``nearest`` adds the cells that can hold more.
 

@@ -74,6 +74,17 @@ def merge_candidates(spark: SparkSession, d: str) -> DataFrame:
     return named.select(F.least("a", "b").alias("address_a"), F.greatest("a", "b").alias("address_b"), "name_key", "volume")
 
 
+@query(BOOK + """, keyed AS (SELECT address, messages_from + messages_to AS n, 'name' || (substr(split_part(address, '@', 1), 2)::BIGINT % 300) AS name_key, 'ct_' || substr(sha256(address), 1, 16) AS c FROM book WHERE NOT is_user AND messages_from + messages_to >= 2),
+w AS (SELECT *, count(*) OVER (PARTITION BY name_key) AS members, first_value(address) OVER o AS representative, first_value(n) OVER o AS most FROM keyed WINDOW o AS (PARTITION BY name_key ORDER BY n DESC, c))
+SELECT name_key, address, representative, members, CASE WHEN address = representative THEN n ELSE n + most END AS volume FROM w WHERE members > 1""")
+def merge_groups(spark: SparkSession, d: str) -> DataFrame:
+    k = F.split_part(F.substring("address", 2, 20), F.lit("@"), F.lit(1)).cast("long") % 300
+    book = _book(spark, d).withColumn("name_variants", F.array(F.concat(F.lit("Name "), k)))
+    of = lambda c, to: book.select(F.col("contact_id").alias(c), F.col("address").alias(to))
+    named = contacts.merge_groups(book).join(of("contact_id", "address"), "contact_id").withColumnRenamed("representative", "r").join(of("r", "representative"), "r")
+    return named.select("name_key", "address", "representative", "members", "volume")
+
+
 MERGED = ", c AS (SELECT c_custkey AS k, 'c' || c_custkey AS id, c_name AS display_name, c_mktsegment AS tag FROM customer)"
 
 
@@ -196,6 +207,15 @@ def search_all(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.fuse_sources(lists).select("source", "id", "rank", F.round("score", 9).alias("score"))
 
 
+@query(CHUNKS + " SELECT source, id, rank::INT AS rank, round(1 / (60 + rank), 9)::DOUBLE AS score FROM (SELECT 'attachment' AS source, sha256 || ':' || chunk_index AS id, s, row_number() OVER (ORDER BY s DESC, sha256 || ':' || chunk_index) AS rank FROM near) ORDER BY s DESC, id LIMIT 20")
+def search_attachments(spark: SparkSession, d: str) -> DataFrame:
+    rows = _chunks(spark, d)[0].filter(retrieval.usable())
+    near = rows.select(F.lit("attachment").alias("source"), F.concat_ws(":", "sha256", "chunk_index").alias("id"), retrieval.cosine("embedding", literal(_query_vector(spark, d))).alias("similarity"))
+    messages = near.limit(0).withColumn("source", F.lit("message"))
+    lists = near.orderBy(F.desc("similarity"), "id").limit(30).unionByName(messages)
+    return retrieval.fuse_sources(lists, sources=["attachment"]).select("source", "id", "rank", F.round("score", 9).alias("score"))
+
+
 @query(f""", hit AS (SELECT e.id, subject, sender_address, date FROM emails e JOIN bodies b ON b.id = e.id WHERE contains(lower(body_text), 'thing') OR contains(lower(subject), 'thing')),
 x AS (SELECT id, row_number() OVER (ORDER BY date DESC NULLS LAST, id) AS r FROM hit QUALIFY r <= 200),
 n AS (SELECT id, row_number() OVER (ORDER BY list_cosine_similarity(v, {Q}) DESC, id) AS r FROM vectors QUALIFY r <= 200),
@@ -230,6 +250,12 @@ def diverse_sample(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.diverse_sample(m, "sender_domain", 5)
 
 
+@query()
+def diverse_overall(spark: SparkSession, d: str) -> DataFrame:
+    m = archive.with_vectors(archive.emails(spark, d).select("id", "date"), spark, d)
+    return retrieval.diverse_overall(m, 12)
+
+
 @query()
 def cell_search(spark: SparkSession, d: str) -> DataFrame:
     from lettermill.staging import shared_dir

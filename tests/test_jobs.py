@@ -231,6 +231,40 @@ def test_stream_store_new_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 7
 
 
+def test_stream_address_book_equals_batch(spark, sf_dir, tmp_path):
+    """The book of the stream's last state, over several batches, against the full build."""
+    from lettermill.operators import contacts
+    from lettermill.sources import archive
+
+    mails = archive.emails(spark, sf_dir).select("id", "sender_address", "sender_name", "recipients", "date")
+    me = archive.identities(spark, sf_dir)
+    odd = [(-1, " U1@d1.example ", "", (["x@y.z", "X@y.z", ""], None, None), None), (-2, None, "nobody", (["x@y.z"], [], []), None), (-3, "only@x.y", None, None, None)]
+    mails = mails.unionByName(spark.createDataFrame(odd, "id long, sender_address string, sender_name string, recipients struct<to:array<string>, cc:array<string>, bcc:array<string>>, date timestamp"))
+    me = me.unionByName(spark.createDataFrame([("u1@d1.example",)], "address string"))
+    stream = feed(spark, mails, f"{tmp_path}/in", 4)
+    state: dict = {}
+    job = jobs.each_batch(jobs.address_statistics(stream, me), lambda b, i: state.update({(r["address"], r["name"]): r for r in b.collect()}), f"{tmp_path}/cp", "update")
+    job.awaitTermination(300)
+    last = spark.createDataFrame(list(state.values()), "address string, name string, messages_from long, messages_to long, first_seen timestamp, last_seen timestamp")
+    columns = ("address", "name", "name_variants", "is_user", "first_seen", "last_seen", "messages_from", "messages_to")
+    rows = lambda t: sorted((tuple(r) for r in t.select(*columns).collect()), key=str)
+    assert len(job.recentProgress) > 2 and rows(jobs.book_of_statistics(last, me)) == rows(contacts.address_book(mails, me))
+
+
+def test_stream_counts_late_rows(spark, tmp_path):
+    """Rows of windows that the watermark has closed are left out and counted."""
+    src = f"{tmp_path}/in"
+    parts = [["2025-01-01 10:00", "2025-01-05 10:00"], ["2025-01-05 10:20"], ["2025-01-01 10:30", "2025-01-01 11:30", "2025-01-05 10:40"]]
+    n = 0
+    for part in parts:
+        spark.createDataFrame([(datetime.fromisoformat(t),) for t in part], "ts timestamp").coalesce(1).write.mode("append").parquet(src)
+        stream = jobs.read_files(spark, src, spark.createDataFrame([], "ts timestamp").schema)
+        job = jobs.each_batch(jobs.bucket_counts(stream), lambda b, i: b.count(), f"{tmp_path}/cp", "update")
+        job.awaitTermination(120)
+        n += jobs.late_rows(job)
+    assert n == 2
+
+
 def test_stream_alarms(spark, tmp_path):
     schema = "thread_id string, message_id string, date timestamp, mine boolean"
     first = [("t1", "a", datetime(2025, 1, 1), False), ("t2", "b", datetime(2025, 1, 1), False)]

@@ -135,6 +135,64 @@ def test_farthest_point_seed(spark):
     assert [r["id"] for r in rows] == ["0", "2", "1"]
 
 
+def test_diverse_overall_by_brute_force(spark):
+    """All rows of all keys: greedy picks by plain loops, with ties, rows without a vector, without length and without a date."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        vec = None if i % 13 == 0 else [0.0] * 3 if i % 17 == 0 else rng.normal(size=3).tolist()
+        rows.append(mail(f"{i:02d}", f"s@d{i % 4}.c", [], None if i % 19 == 0 else f"2025-{1 + i % 9:02d}-{1 + i % 5:02d}", vec=vec))
+    got = [r["id"] for r in retrieval.diverse_overall(frame(spark, rows), 7, pool=60).orderBy("pick").collect()]
+    newest = sorted(rows, key=lambda r: (r[7] is None, -(r[7].timestamp() if r[7] else 0), r[0]))[:60]
+    pool = [(r[0], np.array(r[-1])) for r in newest if r[-1] is not None]
+
+    def apart(a, b):
+        size = np.linalg.norm(a) * np.linalg.norm(b)
+        return 1 - float(a @ b) / size if size else (0.0 if not np.linalg.norm(a) else 1.0)
+
+    taken = [pool[0]]
+    while len(taken) < 7:
+        rest = [p for p in pool if p[0] not in {t[0] for t in taken}]
+        taken.append(max(rest, key=lambda p: round(min(apart(p[1], t[1]) for t in taken), 12)))
+    assert got == [t[0] for t in taken]
+
+
+def test_merge_groups_by_pairs(spark):
+    """Groups against all pairs: the same contacts, and each member's pair with the representative at the same volume."""
+    book = "address string, contact_id string, name string, name_variants array<string>, is_user boolean, first_seen timestamp, last_seen timestamp, messages_from long, messages_to long"
+    rows = [(f"a{i}", f"c{i % 25:02d}", None, [f"N {i % 6}", "n" + str(i % 6), f"M {i % 9}"][: i % 4], i == 7, None, None, i % 5, i % 3) for i in range(40)]
+    frame_ = spark.createDataFrame(rows, book)
+    pairs = {(r["id_a"], r["id_b"]): r["volume"] for r in contacts.merge_candidates(frame_).collect()}
+    groups = contacts.merge_groups(frame_).collect()
+    assert groups and {c for p in pairs for c in p} == {r["contact_id"] for r in groups}
+    by: dict = {}
+    for r in groups:
+        by.setdefault(r["name_key"], set()).add(r["contact_id"])
+        if r["contact_id"] != r["representative"]:
+            assert pairs[tuple(sorted((r["contact_id"], r["representative"])))] == r["volume"]
+    assert all(r["members"] == len(by[r["name_key"]]) for r in groups)
+    assert set(pairs) == {p for g in by.values() for p in combinations(sorted(g), 2)}
+
+
+def test_top_contacts_by_brute_force(spark):
+    """Every direction, with null senders, null and repeated recipients."""
+    rows = [mail("1", "me@x.c", ["a@x.c", "b@y.c"], "2025-01-01", cc=["a@x.c", "me@x.c"]), mail("2", "a@x.c", ["me@x.c"], "2025-01-02"), mail("3", "a@x.c", ["b@y.c"], None, bcc=["c@z.c"])]
+    rows += [("4", "4", "4", None, None, None, (["a@x.c"], None, None), None, None, False, None, None, [], None), ("5", "5", "5", None, "me@x.c", "x.c", ([None, "b@y.c"], None, []), None, None, False, None, None, [], None)]
+    m, me = frame(spark, rows), people(spark, "me@x.c", "me@x.c")
+    run = lambda **k: {r["key"]: r["messages"] for r in messages.top_contacts(m, me, **k).collect()}
+    assert run(direction="inbound") == {"a@x.c": 2} and run(direction="outbound") == {"a@x.c": 2, "b@y.c": 2}
+    assert run() == {"a@x.c": 4, "b@y.c": 2} and run(group_by="domain") == {"x.c": 4, "y.c": 2} and run(after="2025-01-02") == {"a@x.c": 1}
+    with pytest.raises(ValueError):
+        run(direction="sideways")
+
+
+def test_sources_of_fusion(spark):
+    lists = spark.createDataFrame([("message", "m1", 0.9), ("message", "m2", 0.8), ("attachment", "a1", 0.7)], "source string, id string, similarity double")
+    order = lambda **k: [(r["source"], r["id"], r["rank"]) for r in retrieval.fuse_sources(lists, **k).collect()]
+    assert order() == [("message", "m1", 1), ("attachment", "a1", 1), ("message", "m2", 2)]
+    assert order(sources=["attachment"]) == [("attachment", "a1", 1)] and order(sources=[]) == []
+
+
 def test_cells_recall(spark, sf_dir, tmp_path):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     cells = retrieval.VectorCells(rows, f"{tmp_path}/cells", cells=8)
