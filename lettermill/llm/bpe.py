@@ -49,6 +49,9 @@ class Vocabulary:
         model, byte = spec["model"], _printable()
         if spec.get("normalizer") or model.get("ignore_merges") or model["type"] != "BPE":
             raise ValueError("a byte-level BPE model without normalizer is needed")
+        cutter = spec.get("pre_tokenizer") or {}
+        if any(c.get("add_prefix_space") for c in [cutter, *cutter.get("pretokenizers", [])]) or any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("prefix spaces and stripping or whole-word special tokens are not supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in self.special}
         made = [self.ranks[bytes(byte[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lettermill.llm import decontamination, language, quality_model, quality_rules, toxicity
+from lettermill.llm import bpe, decontamination, language, quality_model, quality_rules, queries, toxicity
 
 CLASHES = ("x", "y", "n", "fold", "bin", "kept", "score", "words", "terms", "lines", "hashes", "quality", "toxic", "id", "text_hash", "at", "component", "predicted")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,6 +108,20 @@ def test_language_of_repeated_rows(spark):
     assert {(i, p) for i, p, _ in twice} == {(i, lang) for i, _, lang in rows} and len(twice) == len(rows)
 
 
+def test_vocabularies_that_are_refused(tmp_path):
+    """Settings that would change ids are errors, not ignored."""
+    base = json.loads(Path(queries.vocabulary()).read_text(encoding="utf-8"))
+    bpe.Vocabulary(queries.vocabulary())
+    token = base["added_tokens"][0]
+    cutter = base["pre_tokenizer"]
+    nested = {"type": "Sequence", "pretokenizers": [cutter | {"add_prefix_space": True}]}
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": cutter | {"add_prefix_space": True}}, {"pre_tokenizer": nested}, *({"added_tokens": [token | {k: True}]} for k in ("lstrip", "rstrip", "single_word"))):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(base | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(path))
+
+
 def test_decontamination_over_chunk_seams(spark):
     """Items of a text of 30,000 words that lie across the scan's chunks of 8,192 words, and at both ends of the text."""
     rng = random.Random(3)
