@@ -16,12 +16,15 @@ from lettermill.operators.retrieval import usable
 
 #: Words that name no topic (fixed values).
 STOPWORDS = (
-    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does "
-    "doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just "
-    "me more most my myself no nor not now of off on once only or other our ours ourselves out over own re same she should so some such than that the "
-    "their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom "
-    "why will with would you your yours yourself yourselves fw fwd subject"
-).split()
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before",
+    "being", "below", "between", "both", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from",
+    "further", "had", "has", "have", "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is",
+    "it", "its", "itself", "just", "me", "more", "most", "my", "myself", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other",
+    "our", "ours", "ourselves", "out", "over", "own", "re", "same", "she", "should", "so", "some", "such", "than", "that", "the", "their", "theirs",
+    "them", "themselves", "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we",
+    "were", "what", "when", "where", "which", "while", "who", "whom", "why", "will", "with", "would", "you", "your", "yours", "yourself",
+    "yourselves", "fw", "fwd", "subject",
+)
 
 
 def cluster(mails: DataFrame, k: int, *, seed: int = 13, key: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -62,7 +65,7 @@ def assign(rows: DataFrame, centroids: DataFrame, *, key: str = "id", max_centro
 def top_terms(rows: DataFrame, *, key: str = "topic", text: str = "subject", top: int = 5, min_length: int = 3) -> DataFrame:
     """key, terms, label: the most frequent terms that are no stopwords (ties by term), and the first three as a label."""
     tokens = F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
-    counts = rows.select(key, tokens.alias("term")).filter((F.length("term") >= min_length) & ~F.col("term").isin(STOPWORDS)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.select(key, tokens.alias("term")).filter((F.length("term") >= min_length) & ~F.col("term").isin(*STOPWORDS)).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy(key).orderBy(F.desc("n"), "term")
     some = counts.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= top)
     listed = some.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("terms"))
