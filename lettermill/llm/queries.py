@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lettermill.llm.bpe import encode
 from lettermill.llm.chat import chat_digests, chat_windows
 from lettermill.llm.decontamination import benchmark_leaks
+from lettermill.llm.fill_middle import fill_middle
 from lettermill.llm.language import language_id
 from lettermill.llm.licenses import SLACK, TEMPLATES, TERM, license_scan
 from lettermill.llm.line_dedup import line_dedup
@@ -80,7 +81,14 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup)}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points as units; 90 of 100 texts transformed, 20 of 100 of these suffix first."""
+    made = fill_middle(table(spark, sf_dir, "documents"), seed=1, fim_percent=90, spm_percent=20, with_restored=True)
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup, op11_fill_middle)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
 
@@ -141,5 +149,14 @@ both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach(n, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, reach.r FROM reach JOIN both_ways l ON l.a = reach.n),
 found AS (SELECT n, min(r) AS component_id FROM reach GROUP BY 1)
 SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN found f ON f.n = d.doc_id
+""",
+    "op11_fill_middle": """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+drawn AS (SELECT doc_id, text, n, ('0x' || substr(d, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(d, 9, 8))::BIGINT % (n + 1) AS c2, ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM texts),
+cut AS (SELECT doc_id, text, n, least(c1, c2) AS low, greatest(c1, c2) AS high, CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substr(text, 1, low) AS p, substr(text, low + 1, high - low) AS m, substr(text, high + 1) AS s FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
 """,
 }
