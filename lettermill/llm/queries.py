@@ -17,6 +17,7 @@ from lettermill.llm.line_dedup import line_dedup
 from lettermill.llm.near_dup import near_duplicates
 from lettermill.llm.quality_model import quality_scores
 from lettermill.llm.quality_rules import quality_rules
+from lettermill.llm.substring_dedup import substring_dedup
 from lettermill.llm.toxicity import toxicity_scores
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,7 +89,12 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), digest("output").alias("output_sha256"), digest("restored").alias("restored_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup, op11_fill_middle)}
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(table(spark, sf_dir, "documents"), width=50)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup, op11_fill_middle, op12_substring_dedup)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
 
@@ -158,5 +164,17 @@ parts AS (SELECT *, substr(text, 1, low) AS p, substr(text, low + 1, high - low)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN low END AS prefix_chars, CASE WHEN form <> 'plain' THEN high - low END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
 FROM parts
+""",
+    "op12_substring_dedup": r"""
+WITH said AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+starts AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM said)),
+firsts AS (SELECT k, min(doc_id) AS owner FROM starts GROUP BY 1),
+known AS (SELECT s.doc_id, i FROM starts s JOIN firsts f USING (k) WHERE f.owner < s.doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM said),
+marked AS (SELECT w.doc_id, w.i, word, max(k.i) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS UNBOUNDED PRECEDING) AS last FROM words w LEFT JOIN known k ON k.doc_id = w.doc_id AND k.i = w.i),
+gone AS (SELECT doc_id, count(*) AS n_removed FROM marked WHERE i - last <= 49 GROUP BY 1),
+stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM marked WHERE last IS NULL OR i - last > 49 GROUP BY 1)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(stay.text, '')) AS kept_sha256
+FROM said s LEFT JOIN gone g ON g.doc_id = s.doc_id LEFT JOIN stay ON stay.doc_id = s.doc_id
 """,
 }
