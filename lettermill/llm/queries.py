@@ -15,6 +15,7 @@ from lettermill.llm.language import language_id
 from lettermill.llm.licenses import SLACK, TEMPLATES, TERM, license_scan
 from lettermill.llm.line_dedup import line_dedup
 from lettermill.llm.near_dup import near_duplicates
+from lettermill.llm.phrases import phrase_collocations
 from lettermill.llm.quality_model import quality_scores
 from lettermill.llm.quality_rules import quality_rules
 from lettermill.llm.substring_dedup import substring_dedup
@@ -94,7 +95,11 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup, op11_fill_middle, op12_substring_dedup)}
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_collocations(table(spark, sf_dir, "documents"), min_count=30, max_words=4, nested_percent=80, top=2000)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_licenses, op4_chat, op5_quality_model, op6_quality_rules, op7_language, op8_decontamination, op9_toxicity, op10_near_dup, op11_fill_middle, op12_substring_dedup, op13_phrases)}
 
 _TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in TEMPLATES)
 
@@ -176,5 +181,19 @@ gone AS (SELECT doc_id, count(*) AS n_removed FROM marked WHERE i - last <= 49 G
 stay AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM marked WHERE last IS NULL OR i - last > 49 GROUP BY 1)
 SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(stay.text, '')) AS kept_sha256
 FROM said s LEFT JOIN gone g ON g.doc_id = s.doc_id LEFT JOIN stay ON stay.doc_id = s.doc_id
+""",
+    "op13_phrases": r"""
+WITH pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY 1),
+said AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, p, count(*) AS f FROM (SELECT lang, w[i:i + size - 1] AS p FROM said, (VALUES (1), (2), (3), (4)) s(size) WHERE i + size - 1 <= len(w)) GROUP BY 1, 2 HAVING count(*) >= 30),
+found AS (SELECT lang, p, f AS a FROM grams WHERE len(p) > 1),
+cuts AS (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM found),
+scored AS (SELECT c.lang, c.p, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score FROM cuts c JOIN grams l ON l.lang = c.lang AND l.p = c.p[1:k] JOIN grams r ON r.lang = c.lang AND r.p = c.p[k + 1:]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+subs AS (SELECT lang, p[i:i + size - 1] AS p, max(a) AS longest FROM (SELECT lang, p, a, size, unnest(range(1, len(p) - size + 2)) AS i FROM (SELECT *, unnest(range(2, len(p))) AS size FROM found)) GROUP BY 1, 2),
+stay AS (SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN subs s ON s.lang = b.lang AND s.p = b.p WHERE NOT coalesce(100 * s.longest >= 80 * b.a, false))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM stay) JOIN totals USING (lang) WHERE rank <= 2000
 """,
 }
