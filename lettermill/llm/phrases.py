@@ -2,9 +2,9 @@
 
 Phrases are short, so the suffix tree of a corpus is wanted only down to ``max_words`` words, and only where its nodes are frequent.
 
-1. Word counts: each task counts the words of a block of text, Spark sums the blocks. Frequent words make a Bloom filter.
-2. Frequent pairs: of the pairs whose words pass that filter, blocks hand over a 64-bit key and a count, and the frequent ones make
-   a second filter. Filters have a bounded size and only save work: what they let pass is counted exactly below, and what is
+1. Frequent words: each task counts the words of a block of text and hands over a 64-bit key and a count each; Spark sums the
+   blocks, and the frequent words make a Bloom filter.
+2. Frequent pairs: the same for pairs whose words pass that filter; they make a second filter. Filters have a bounded size and only save work: what they let pass is counted exactly below, and what is
    frequent always passes.
 3. Suffixes: the text from each word on, cut after ``max_words`` words, at the end of its piece or before a pair that is not
    frequent. A block hands over each distinct suffix with its count, as word hashes.
@@ -32,11 +32,11 @@ from xxhash import xxh3_64_intdigest
 from lettermill.llm.words import PRIME, hashed, mixed
 from lettermill.staging import staged
 
-#: Where pieces end (fixed values), as line feeds; A-Z as a-z; all other bytes stay.
+#: Where pieces end (fixed values), as line feeds; tabs as spaces; A-Z as a-z; all other bytes stay.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
-TABLE = bytes.maketrans(_ENDS + string.ascii_uppercase.encode(), b"\n" * len(_ENDS) + string.ascii_lowercase.encode())
+TABLE = bytes.maketrans(_ENDS + b"\t" + string.ascii_uppercase.encode(), b"\n" * len(_ENDS) + b" " + string.ascii_lowercase.encode())
 #: At most so many prefixes of a length are extended (and sent to the tasks): a prefix must hold more than this part of all suffixes.
-EXTENDED = 16_000
+EXTENDED = 4000
 
 
 class _Ids(dict):
@@ -45,14 +45,21 @@ class _Ids(dict):
         return self[key]
 
 
-class Block:
-    """Words of a task: ids, the language of each, and how many words its piece has from it on."""
+def _vocabulary() -> _Ids:
+    """Ids of a block's words; the first two are of nothing and of the end of a piece."""
+    return _Ids({b"": 0, b"\n": 1})
+
 
-    def __init__(self, words: list[np.ndarray], langs: list[int], vocabulary: _Ids, names: _Ids):
-        sizes = np.array([len(w) for w in words])
-        self.ids = np.concatenate(words)
-        self.lang = np.repeat(np.array(langs), sizes)
-        self.rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(self.ids))
+class Block:
+    """Words of a task: ids, the language of each, and how many words its piece has from it on. ``parts``: (language, ids and piece ends)."""
+
+    def __init__(self, parts: list[tuple[int, np.ndarray]], vocabulary: _Ids, names: _Ids):
+        all_ids = np.concatenate([ids for _, ids in parts])
+        word = all_ids > 1
+        self.ids = all_ids[word]
+        self.lang = np.repeat(np.array([lang for lang, _ in parts]), [len(ids) for _, ids in parts])[word]
+        piece = np.cumsum(all_ids == 1)[word]
+        self.rest = np.cumsum(np.bincount(piece))[piece] - np.arange(len(piece)) if len(piece) else piece
         self.words, self.names = list(vocabulary), list(names)
         self.hashes = hashed(self.words)
         self.h = self.hashes[self.ids]
@@ -72,23 +79,42 @@ def folded(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mixed((keys + h) * np.uint64(PRIME))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[Block]:
-    """(lang, text) rows as blocks of whole pieces, of ``block_words`` words or one more piece."""
-    words, langs, vocabulary, names, held = [], [], _Ids(), _Ids(), 0
+def _stretches(text: bytes, size: int) -> Iterator[bytes]:
+    """A text cut at white space into stretches of about ``size`` bytes, so that few of its words are objects at a time."""
+    start = 0
+    while len(text) - start > size:
+        cut = max(text.rfind(b" ", start, start + size), text.rfind(b"\n", start, start + size))
+        if cut < start:
+            ahead = [x for x in (text.find(b" ", start + size), text.find(b"\n", start + size)) if x >= 0]
+            cut = min(ahead, default=len(text))
+        yield text[start : cut + 1]
+        start = cut + 1
+    yield text[start:]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], block_words: int, stretch: int = 1 << 20) -> Iterator[Block]:
+    """(lang, text) rows as blocks of whole pieces: about ``block_words`` words, or one piece more."""
+    parts, vocabulary, names, held = [], _vocabulary(), _Ids(), 0
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            lang_id = names[lang]
-            for piece in text.as_py().encode().translate(TABLE).split(b"\n"):
-                if said := piece.split():  # only spaces and tabs are left to cut at
-                    words.append(np.fromiter(map(vocabulary.__getitem__, said), np.int64, len(said)))
-                    langs.append(lang_id)
-                    held += len(said)
-                    if held >= block_words:
-                        yield Block(words, langs, vocabulary, names)
-                        words, langs, vocabulary, names, held = [], [], _Ids(), _Ids(), 0
-                        lang_id = names[lang]
-    if words:
-        yield Block(words, langs, vocabulary, names)
+            for said in _stretches(text.as_py().encode().translate(TABLE) + b"\n", stretch):
+                tokens = said.replace(b"\n", b" \n ").split(b" ")
+                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
+                ids = ids[ids > 0]
+                parts.append((names[lang], ids))
+                held += len(ids)
+                ends = np.flatnonzero(ids == 1)
+                if held >= block_words and len(ends):
+                    said_words = list(vocabulary)
+                    left = [said_words[i] for i in ids[ends[-1] + 1 :].tolist()]  # of a piece that goes on
+                    parts[-1] = (names[lang], ids[: ends[-1] + 1])
+                    yield Block(parts, vocabulary, names)
+                    parts, vocabulary, names = [], _vocabulary(), _Ids()
+                    if left:
+                        parts.append((names[lang], np.fromiter(map(vocabulary.__getitem__, left), np.int64, len(left))))
+                    held = len(left)
+    if parts:
+        yield Block(parts, vocabulary, names)
 
 
 class Filter:
@@ -137,13 +163,16 @@ def _counted(texts: DataFrame, make: Callable[[Block], list], ddl: str, schema:
     return texts.mapInArrow(run, ddl)
 
 
-def _word_rows(block: Block) -> list:
-    code = block.lang * len(block.words) + block.ids
-    found, counts = np.unique(code, return_counts=True)
+def _word_counts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(language, word, key, count) of each distinct word."""
+    found, counts = np.unique(block.lang * len(block.words) + block.ids, return_counts=True)
     lang, word = found // len(block.words), found % len(block.words)
-    said = pa.array(block.words, pa.binary()).cast(pa.string()).take(pa.array(word))
-    names = pa.array(block.names, pa.string()).take(pa.array(lang))
-    return [names, said, block.hashes[word].view(np.int64), folded(block.lang_hashes[lang], block.hashes[word]).view(np.int64), counts]
+    return lang, word, folded(block.lang_hashes[lang], block.hashes[word]), counts
+
+
+def _word_rows(block: Block) -> list:
+    _, _, keys, counts = _word_counts(block)
+    return [keys.view(np.int64), counts]
 
 
 def _pair_rows(frequent: Filter) -> Callable[[Block], list]:
@@ -157,19 +186,28 @@ def _pair_rows(frequent: Filter) -> Callable[[Block], list]:
     return make
 
 
-def _suffix_rows(pairs: Filter, max_words: int) -> Callable[[Block], list]:
+def _suffix_rows(frequent: Filter, pairs: Filter, max_words: int) -> Callable[[Block], list]:
+    """Three kinds of rows (lang, w1 ..., c, word): suffixes of two words and more; frequent words, spelt, without w2; totals, without words."""
+
     def make(block: Block) -> list:
         good = (block.rest > 1) & pairs.has(folded(folded(block.lang_h, block.h), block.at(block.h, 1)))
         columns, on = [block.lang, block.ids], good
         for k in range(1, max_words):
             columns.append(np.where(on, block.at(block.ids, k, -1), -1))
             on = on & block.at(good, k)
-        columns = [c[good] for c in columns]
-        if not len(columns[0]):
-            return [[] for _ in range(max_words + 2)]
-        first, counts = _distinct(columns)
-        words = [pa.array(block.hashes[c[first]].view(np.int64), mask=c[first] < 0) for c in columns[1:]]
-        return [pa.array(block.names, pa.string()).take(pa.array(columns[0][first])), *words, counts]
+        first, counts = _distinct([c[good] for c in columns]) if good.any() else (np.empty(0, np.int64), np.empty(0, np.int64))
+        lang, *words = (c[good][first] for c in columns)
+        of_lang, word, keys, held = _word_counts(block)
+        spelt = frequent.has(keys)
+        totals = np.bincount(block.lang, minlength=len(block.names))
+        langs = np.concatenate([lang, of_lang[spelt], np.arange(len(totals))])
+        none = np.full(len(totals), -1)
+        blank = np.full(spelt.sum() + len(totals), -1)
+        ids = [np.concatenate([words[0], word[spelt], none]), *(np.concatenate([w, blank]) for w in words[1:])]
+        said = pa.array(block.words, pa.binary()).cast(pa.string()).take(pa.array(word[spelt]))
+        said = pa.concat_arrays([pa.nulls(len(lang), pa.string()), said, pa.nulls(len(totals), pa.string())])
+        made = [pa.array(block.hashes[w].view(np.int64), mask=w < 0) for w in ids]
+        return [pa.array(block.names, pa.string()).take(pa.array(langs)), *made, np.concatenate([counts, held[spelt], totals]), said]
 
     return make
 
@@ -259,22 +297,26 @@ def phrase_counts(docs: DataFrame, *, min_count: int = 30, max_words: int = 4, g
     more; lang, h, word of its words; lang, n (all words).
     """
     texts = docs.filter("text is not null").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    word_schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("key", pa.int64()), ("c", pa.int64())])
-    said = _counted(texts, _word_rows, "lang string, word string, h long, key long, c long", word_schema, block_words)
-    counts = staged(said.groupBy("lang", "word", "h", "key").agg(F.sum("c").alias("c")), "word_counts")
-    totals = counts.groupBy("lang").agg(F.sum("c").alias("n"))
-    words = staged(counts.filter(F.col("c") >= min_count), "words")
-    pair_schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
-    pairs = _counted(texts, _pair_rows(Filter.of(words, filter_bits)), "key long, c long", pair_schema, block_words)
-    pairs = staged(pairs.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count).select("key"), "pairs")
+    key_schema = pa.schema([("key", pa.int64()), ("c", pa.int64())])
+
+    def often(make: Callable[[Block], list], name: str) -> Filter:
+        rows = _counted(texts, make, "key long, c long", key_schema, block_words)
+        return Filter.of(staged(rows.groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count).select("key"), name), filter_bits)
+
+    frequent = often(_word_rows, "frequent_words")
+    pairs = often(_pair_rows(frequent), "frequent_pairs")
     w = [f"w{i}" for i in range(1, max_words + 1)]
-    suffix_schema = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in w), ("c", pa.int64())])
-    ddl = "lang string, " + ", ".join(f"{c} long" for c in w) + ", c long"
-    suffixes = staged(_counted(texts, _suffix_rows(Filter.of(pairs, filter_bits), max_words), ddl, suffix_schema, block_words), "suffixes")
+    schema = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in w), ("c", pa.int64()), ("word", pa.string())])
+    ddl = "lang string, " + ", ".join(f"{c} long" for c in w) + ", c long, word string"
+    rows = staged(_counted(texts, _suffix_rows(frequent, pairs, max_words), ddl, schema, block_words), "suffixes")
+    totals = rows.filter("w1 is null").groupBy("lang").agg(F.sum("c").alias("n")).filter("n > 0")
+    words = rows.filter("word is not null").groupBy("lang", "word", F.col("w1").alias("h")).agg(F.sum("c").alias("f")).filter(F.col("f") >= min_count)
+    words = staged(words, "words")
+    suffixes = rows.filter("w2 is not null").drop("word")
     total = suffixes.count()
-    extended = _extended(suffixes, w, max(group_rows // 16, total // EXTENDED))
+    extended = _extended(suffixes, w, total // EXTENDED)
     nodes = _nodes(_grouped(suffixes, w, extended, max(1, -(-total // group_rows))), w, min_count)
-    phrases = [words.select("lang", F.array("h").alias("p"), F.col("c").alias("f")), nodes]
+    phrases = [words.select("lang", F.array("h").alias("p"), "f"), nodes]
     phrases += [hot.filter(F.col("f") >= min_count).select("lang", F.array(*w[: d + 1]).alias("p"), "f") for d, hot in enumerate(extended) if d]
     return staged(reduce(DataFrame.unionAll, phrases), "phrases"), words.select("lang", "h", "word"), totals
 

@@ -106,10 +106,24 @@ def test_no_group_holds_a_frequent_word(spark):
     texts = docs_of(spark, rows).select("lang", "text")
     check(spark, rows, 30, group_rows=160, block_words=300)
     w = ["w1", "w2", "w3", "w4"]
-    schema = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in w), ("c", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), *((c, pa.int64()) for c in w), ("c", pa.int64()), ("word", pa.string())])
     everything = phrases.Filter(1 << 15, np.full(4096, 255, np.uint8))
-    suffixes = phrases._counted(texts, phrases._suffix_rows(everything, 4), "lang string, w1 long, w2 long, w3 long, w4 long, c long", schema, 300).cache()
-    extended = phrases._extended(suffixes, w, 200)
+    rows = phrases._counted(texts, phrases._suffix_rows(everything, everything, 4), "lang string, w1 long, w2 long, w3 long, w4 long, c long, word string", schema, 300)
+    suffixes = rows.filter("w2 is not null").drop("word").cache()
+    extended = phrases._extended(suffixes, w, suffixes.count() // 20)
     assert [e.count() for e in extended][0] >= 1
     dealt = phrases._grouped(suffixes, w, extended, 16).groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in dealt) < 0.35 * suffixes.count()
+
+
+@pytest.mark.parametrize("block_words, stretch", [(1, 1), (7, 3), (40, 16), (10**6, 1 << 20)])
+def test_blocks_keep_pieces_whole(block_words, stretch):
+    """Long texts go through in stretches; pieces that go on over a stretch or a block stay whole."""
+    rows = [*made(4, 40), ("one piece " * 60, "en"), ("x" * 500, "en"), ("", "de"), ("a,b;c\td", "de")]
+    batch = pa.RecordBatch.from_pydict({"lang": [x or "und" for _, x in rows], "text": [t for t, _ in rows]})
+    got = []
+    for b in phrases.blocks(iter([batch]), block_words, stretch):
+        starts = np.flatnonzero(np.concatenate([[True], b.rest[1:] != b.rest[:-1] - 1])) if len(b.rest) else []
+        got += [(b.names[b.lang[i]], [b.words[k] for k in b.ids[i : i + b.rest[i]]]) for i in starts]
+    want = [(x or "und", p.encode().split()) for t, x in rows for p in re.split(r"[.,;:!?\x0A-\x0D]", t.translate(LOWER)) if p.encode().split()]
+    assert got == want
