@@ -1,4 +1,4 @@
-"""Fixed-size count vectors summed over all rows: tasks sum their rows, Spark sums the tasks' parts."""
+"""Fixed-size vectors summed over all rows: tasks sum their rows, groups of at most ``FAN`` tasks' parts are merged level by level."""
 
 from __future__ import annotations
 
@@ -6,23 +6,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-_PART = pa.schema([("chunk", pa.int32()), ("rows", pa.binary()), ("vector", pa.binary()), ("n", pa.int64())])
-_DDL = "chunk int, rows binary, vector binary, n long"
+#: Parts that one group merges. With ``LEVELS`` levels before the last, FAN ** (LEVELS + 1) tasks never meet in a larger group.
+FAN, LEVELS = 64, 2
+_PART = pa.schema([("chunk", pa.int32()), ("lot", pa.int64()), ("rows", pa.binary()), ("vector", pa.binary()), ("n", pa.int64())])
+_DDL = "chunk int, lot long, rows binary, vector binary, n long"
 
 
-def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tuple[int, ...], dtype: type, chunks: int = 8) -> tuple[np.ndarray, int]:
-    """(vector, rows): ``add(total, values)`` adds the values of the one column of ``rows`` to a task's total, batch by batch.
+def _part(chunk: int, lot: int, piece: np.ndarray, n: int) -> pa.RecordBatch:
+    """The rows of a piece that are not zero."""
+    some = np.flatnonzero(piece.reshape(len(piece), -1).any(axis=1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chunk, lot, some.tobytes(), piece[some].tobytes(), n), _PART)], schema=_PART)
 
-    Tasks hand over the rows of their total that are not zero, in ``chunks`` pieces.
-    """
-    sizes = [len(p) for p in np.array_split(np.empty(shape[0], bool), chunks)]
-    rest = shape[1:]
 
-    def part(chunk: int, piece: np.ndarray, n: int) -> pa.RecordBatch:
-        some = np.flatnonzero(piece.reshape(len(piece), -1).any(axis=1)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([some.tobytes()], pa.binary()), pa.array([piece[some].tobytes()], pa.binary()), pa.array([n], pa.int64())], schema=_PART)
+def partial_sums(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tuple[int, ...], dtype: type, chunks: int = 8) -> DataFrame:
+    """The tasks' sums in ``chunks`` pieces, with the task's number as their lot."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(shape, dtype), 0
@@ -33,18 +34,37 @@ def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tupl
                 n += len(values)
         if n:
             for chunk, piece in enumerate(np.array_split(total, chunks)):
-                yield part(chunk, piece, n)
+                yield _part(chunk, TaskContext.get().partitionId(), piece, n)
+
+    return rows.mapInArrow(partial, _DDL)
+
+
+def merged(parts: DataFrame, shape: tuple[int, ...], dtype: type, chunks: int = 8, fan: int | None = FAN) -> DataFrame:
+    """One part for each chunk and ``fan`` lots that follow each other; without ``fan`` one for each chunk."""
+    sizes = [len(p) for p in np.array_split(np.empty(shape[0], bool), chunks)]
 
     def merge(table: pa.Table) -> pa.Table:
         chunk, n = table["chunk"][0].as_py(), 0
-        total = np.zeros((sizes[chunk], *rest), dtype)
+        total = np.zeros((sizes[chunk], *shape[1:]), dtype)
         for some, vector, m in zip(*(table[c].to_pylist() for c in ("rows", "vector", "n"))):
-            total[np.frombuffer(some, np.int32)] += np.frombuffer(vector, dtype).reshape(-1, *rest)
+            total[np.frombuffer(some, np.int32)] += np.frombuffer(vector, dtype).reshape(-1, *shape[1:])
             n += m
-        return pa.Table.from_batches([part(chunk, total, n)])
+        return pa.Table.from_batches([_part(chunk, table["lot"][0].as_py() // (fan or 1), total, n)])
+
+    return parts.groupBy("chunk", *([F.expr(f"lot div {fan}")] if fan else [])).applyInArrow(merge, _DDL)
 
-    made = rows.mapInArrow(partial, _DDL).groupBy("chunk").applyInArrow(merge, _DDL).collect()  # the vector's size
-    out, starts = np.zeros(shape, dtype), np.concatenate([[0], np.cumsum(sizes)])
-    for r in made:
-        out[starts[r["chunk"]] + np.frombuffer(bytes(r["rows"]), np.int32)] = np.frombuffer(bytes(r["vector"]), dtype).reshape(-1, *rest)
-    return out, made[0]["n"] if made else 0
+
+def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tuple[int, ...], dtype: type, chunks: int = 8) -> tuple[np.ndarray, int]:
+    """(vector, rows): ``add(total, values)`` adds the values of the one column of ``rows`` to a task's total, batch by batch.
+
+    The driver gets one vector.
+    """
+    parts = partial_sums(rows, add, shape, dtype, chunks)
+    for fan in (*[FAN] * LEVELS, None):
+        parts = merged(parts, shape, dtype, chunks, fan)
+    out, n = np.zeros(shape, dtype), 0
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in np.array_split(np.empty(shape[0], bool), chunks)])])
+    for r in parts.collect():
+        out[starts[r["chunk"]] + np.frombuffer(bytes(r["rows"]), np.int32)] = np.frombuffer(bytes(r["vector"]), dtype).reshape(-1, *shape[1:])
+        n = r["n"]
+    return out, n

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lettermill.llm.counts import summed
 from lettermill.llm.stats import document_stats
 from lettermill.staging import staged
 
@@ -50,28 +51,14 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, made: Fourier) -> np.ndarray:
-    """The sum of [phi phi', phi y] over rows (x array<double>, y double): tasks sum their rows, Spark sums the tasks' parts."""
+    """The sum of [phi phi', phi y] over rows (x array<double>, y double): tasks sum their rows, and their parts are merged level by level."""
     n = made.size + 1
-    part = pa.schema([("row", pa.int32()), ("vector", pa.binary())])
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n + 1))
-        for b in batches:
-            if len(b):
-                phi = made(matrix(b.column(0)))
-                total += phi.T @ np.hstack([phi, np.array(b.column(1).to_pylist(), float)[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([v.tobytes() for v in total], pa.binary())], schema=part)
-
-    def add(group: pa.Table) -> pa.Table:
-        vector = sum(np.frombuffer(v, float) for v in group["vector"].to_pylist())
-        return pa.table({"row": group["row"].slice(0, 1), "vector": pa.array([vector.tobytes()], pa.binary())}, schema=part)
-
-    ddl = "row int, vector binary"
-    summed = rows.select("x", "y").mapInArrow(partial, ddl).groupBy("row").applyInArrow(add, ddl).collect()  # size + 1 rows
-    out = np.zeros((n, n + 1))
-    for r in summed:
-        out[r["row"]] = np.frombuffer(bytes(r["vector"]), float)
-    return out
+    def add(total: np.ndarray, values: list) -> None:
+        phi = made(np.array([v["x"] for v in values], float))
+        total += phi.T @ np.hstack([phi, np.array([v["y"] for v in values], float)[:, None]])
+
+    return summed(rows.select(F.struct("x", "y")), add, (n, n + 1), float)[0]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -422,8 +422,29 @@ def test_decontamination_more_passages_than_dimensions(spark):
                     want.add((r["doc_id"], item))
                 if same == n and said.tobytes() in words[at : at + n + 16].tobytes():
                     whole.add((r["doc_id"], item))
-    print(f"whole {len(whole & found)} of {len(whole)}, brute force {len(want & found)} of {len(want)}, found {len(found)}")
+    latent = {(r["doc_id"], r["item_id"]) for r in decontamination.benchmark_leaks(docs, bench, rare_words=False).collect()}
+    print(f"whole {len(whole & found)} of {len(whole)}, brute force {len(want & found)} of {len(want)}, found {len(found)}, by the latent search alone {len(want & latent)}")
     assert len(whole) > 200 and whole <= found and len(want & found) >= 0.99 * len(want)
+    assert latent <= found and len(want & latent) >= 0.95 * len(want)
+
+
+def test_latent_search_of_paraphrases(spark):
+    """400 items (over four times the passages of the basis) planted with 15 % of the words exchanged and some dropped, without rare words."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("na", "ter", "lo", "mis", "ra", "den", "ku", "sil")]
+    said = lambda n: [rng.choices(vocabulary, range(len(vocabulary), 0, -1))[0] for _ in range(n)]
+    items = [said(rng.randrange(20, 60)) for _ in range(400)]
+    rows = []
+    for i, words in enumerate(items):
+        changed = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in words if rng.random() > 0.05]
+        rows.append((i, " ".join(said(rng.randrange(0, 90)) + changed + said(rng.randrange(0, 90)))))
+    rows += [(1000 + i, " ".join(said(120))) for i in range(300)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.benchmark_leaks(docs_of(spark, rows), bench, rare_words=False).collect()}
+    hashes = [decontamination.word_hashes(" ".join(w).encode()) for w in items]
+    want = {(i, i) for i in range(400) if decontamination.common_subsequence(hashes[i], decontamination.word_hashes(rows[i][1].encode())) >= 0.75 * len(hashes[i])}
+    print(f"paraphrases {len(got & want)} of {len(want)}, found {len(got)}")
+    assert len(want) > 250 and len(got & want) >= 0.9 * len(want) and not any(d >= 1000 for d, _ in got)
 
 
 def test_common_subsequence():
