@@ -19,6 +19,7 @@ The nodes (frequent phrases) are far fewer than the words; scores, nesting and r
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -36,7 +37,7 @@ from lettermill.staging import staged
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 TABLE = bytes.maketrans(_ENDS + b"\t" + string.ascii_uppercase.encode(), b"\n" * len(_ENDS) + b" " + string.ascii_lowercase.encode())
 #: At most so many prefixes of a length are extended (and sent to the tasks): a prefix must hold more than this part of all suffixes.
-EXTENDED = 4000
+EXTENDED = 1000
 
 
 class _Ids(dict):
@@ -57,14 +58,14 @@ class Block:
         all_ids = np.concatenate([ids for _, ids in parts])
         word = all_ids > 1
         self.ids = all_ids[word]
-        self.lang = np.repeat(np.array([lang for lang, _ in parts]), [len(ids) for _, ids in parts])[word]
-        piece = np.cumsum(all_ids == 1)[word]
-        self.rest = np.cumsum(np.bincount(piece))[piece] - np.arange(len(piece)) if len(piece) else piece
+        self.lang = np.repeat(np.array([lang for lang, _ in parts], np.int32), [len(ids) for _, ids in parts])[word]
+        piece = np.cumsum(all_ids == 1, dtype=np.int32)[word]
+        self.rest = (np.cumsum(np.bincount(piece)).astype(np.int32)[piece] - np.arange(len(piece), dtype=np.int32)) if len(piece) else piece
         self.words, self.names = list(vocabulary), list(names)
         self.hashes = hashed(self.words)
-        self.h = self.hashes[self.ids]
         self.lang_hashes = np.fromiter((xxh3_64_intdigest(x.encode()) for x in self.names), np.uint64, len(self.names))
-        self.lang_h = self.lang_hashes[self.lang]
+        #: The place of each word in a table of (language, word).
+        self.code = self.lang * np.int64(len(self.words)) + self.ids
 
     def at(self, values: np.ndarray, k: int, missing: int = 0) -> np.ndarray:
         """``values`` of the k-th next word of the same piece, or ``missing``."""
@@ -73,6 +74,23 @@ class Block:
         out[self.rest <= k] = missing
         return out
 
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(language, word, key, count) of each distinct word."""
+        counts = np.bincount(self.code, minlength=len(self.words) * len(self.names))
+        found = np.flatnonzero(counts)
+        lang, word = found // len(self.words), found % len(self.words)
+        return lang, word, folded(self.lang_hashes[lang], self.hashes[word]), counts[found]
+
+    def frequent(self, often: Filter) -> np.ndarray:
+        """Which words pass the filter."""
+        lang, word, keys, _ = self.counted()
+        known = np.zeros(len(self.words) * len(self.names), bool)
+        known[lang * len(self.words) + word] = often.has(keys)
+        return known[self.code]
+
+    def pair_keys(self, lang: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return folded(folded(self.lang_hashes[lang], self.hashes[one]), self.hashes[two])
+
 
 def folded(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The key of a phrase that goes on with a word, from the key before (of its language at first)."""
@@ -99,7 +117,7 @@ def blocks(batches: Iterator[pa.RecordBatch], block_words: int, stretch: int = 1
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for said in _stretches(text.as_py().encode().translate(TABLE) + b"\n", stretch):
                 tokens = said.replace(b"\n", b" \n ").split(b" ")
-                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
+                ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int32, len(tokens))
                 ids = ids[ids > 0]
                 parts.append((names[lang], ids))
                 held += len(ids)
@@ -111,7 +129,7 @@ def blocks(batches: Iterator[pa.RecordBatch], block_words: int, stretch: int = 1
                     yield Block(parts, vocabulary, names)
                     parts, vocabulary, names = [], _vocabulary(), _Ids()
                     if left:
-                        parts.append((names[lang], np.fromiter(map(vocabulary.__getitem__, left), np.int64, len(left))))
+                        parts.append((names[lang], np.fromiter(map(vocabulary.__getitem__, left), np.int32, len(left))))
                     held = len(left)
     if parts:
         yield Block(parts, vocabulary, names)
@@ -143,12 +161,23 @@ class Filter:
         return cls(bits, packed)
 
 
-def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each distinct row, its count), rows in order."""
-    order = np.lexsort(columns[::-1])
-    new = reduce(np.logical_or, (np.diff(c[order]) != 0 for c in columns))
-    first = np.flatnonzero(np.concatenate([[True], new]))
-    return order[first], np.diff(np.append(first, len(order)))
+def _distinct(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(distinct rows as columns, their counts); values are -1 or more. Rows become one number each where 63 bits can hold them."""
+    ranges = [int(c.max(initial=-1)) + 2 for c in columns]
+    if math.prod(ranges) >= 1 << 63:
+        order = np.lexsort(columns[::-1])
+        new = reduce(np.logical_or, (np.diff(c[order]) != 0 for c in columns))
+        first = np.flatnonzero(np.concatenate([[True], new]))
+        return [c[order[first]] for c in columns], np.diff(np.append(first, len(order)))
+    packed = np.zeros(len(columns[0]), np.int64)
+    for c, n in zip(columns, ranges):
+        packed = packed * n + (c + 1)
+    packed, counts = np.unique(packed, return_counts=True)
+    out = []
+    for n in ranges[::-1]:
+        packed, rest = np.divmod(packed, n)
+        out.append(rest - 1)
+    return out[::-1], counts
 
 
 def _counted(texts: DataFrame, make: Callable[[Block], list], ddl: str, schema: pa.Schema, block_words: int) -> DataFrame:
@@ -163,25 +192,17 @@ def _counted(texts: DataFrame, make: Callable[[Block], list], ddl: str, schema:
     return texts.mapInArrow(run, ddl)
 
 
-def _word_counts(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(language, word, key, count) of each distinct word."""
-    found, counts = np.unique(block.lang * len(block.words) + block.ids, return_counts=True)
-    lang, word = found // len(block.words), found % len(block.words)
-    return lang, word, folded(block.lang_hashes[lang], block.hashes[word]), counts
-
-
 def _word_rows(block: Block) -> list:
-    _, _, keys, counts = _word_counts(block)
+    _, _, keys, counts = block.counted()
     return [keys.view(np.int64), counts]
 
 
 def _pair_rows(frequent: Filter) -> Callable[[Block], list]:
     def make(block: Block) -> list:
-        one = folded(block.lang_h, block.h)
-        known = frequent.has(one)
+        known = block.frequent(frequent)
         both = known & block.at(known, 1)
-        keys, counts = np.unique(folded(one, block.at(block.h, 1))[both], return_counts=True)
-        return [keys.view(np.int64), counts]
+        (lang, one, two), counts = _distinct([block.lang[both], block.ids[both], block.at(block.ids, 1)[both]])
+        return [block.pair_keys(lang, one, two).view(np.int64), counts]
 
     return make
 
@@ -190,14 +211,20 @@ def _suffix_rows(frequent: Filter, pairs: Filter, max_words: int) -> Callable[[B
     """Three kinds of rows (lang, w1 ..., c, word): suffixes of two words and more; frequent words, spelt, without w2; totals, without words."""
 
     def make(block: Block) -> list:
-        good = (block.rest > 1) & pairs.has(folded(folded(block.lang_h, block.h), block.at(block.h, 1)))
-        columns, on = [block.lang, block.ids], good
+        known = block.frequent(frequent)
+        good = known & block.at(known, 1)
+        good[good] = pairs.has(block.pair_keys(block.lang[good], block.ids[good], block.at(block.ids, 1)[good]))
+        used = np.unique(np.concatenate([block.ids[good], block.at(block.ids, 1)[good], [0]]))  # frequent words only: smaller numbers
+        small = np.zeros(len(block.words), np.int32)
+        small[used] = np.arange(len(used), dtype=np.int32)
+        own = small[block.ids]
+        columns, on = [block.lang[good], own[good]], good
         for k in range(1, max_words):
-            columns.append(np.where(on, block.at(block.ids, k, -1), -1))
+            columns.append(np.where(on, block.at(own, k, -1), -1)[good])
             on = on & block.at(good, k)
-        first, counts = _distinct([c[good] for c in columns]) if good.any() else (np.empty(0, np.int64), np.empty(0, np.int64))
-        lang, *words = (c[good][first] for c in columns)
-        of_lang, word, keys, held = _word_counts(block)
+        (lang, *words), counts = _distinct(columns)
+        words = [np.where(w < 0, -1, used[w]) for w in words]
+        of_lang, word, keys, held = block.counted()
         spelt = frequent.has(keys)
         totals = np.bincount(block.lang, minlength=len(block.names))
         langs = np.concatenate([lang, of_lang[spelt], np.arange(len(totals))])
@@ -292,7 +319,7 @@ def _nodes(grouped: DataFrame, w: list[str], min_count: int) -> DataFrame:
     return grouped.mapInArrow(run, "lang string, p array<long>, f long")
 
 
-def phrase_counts(docs: DataFrame, *, min_count: int = 30, max_words: int = 4, group_rows: int = 1 << 20, block_words: int = 1 << 20, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, min_count: int = 30, max_words: int = 4, group_rows: int = 1 << 20, block_words: int = 1 << 21, filter_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(phrases, words, totals): lang, p (word hashes), f of each phrase of one to ``max_words`` words found ``min_count`` times or
     more; lang, h, word of its words; lang, n (all words).
     """
@@ -326,7 +353,7 @@ def _share(part: Column, whole: Column, scale: int) -> Column:
     return F.call_function("div", F.lit(scale).cast("decimal(10,0)") * part.cast("decimal(19,0)"), whole)
 
 
-def phrase_collocations(docs: DataFrame, *, min_count: int = 30, max_words: int = 4, nested_percent: int = 80, top: int = 2000, group_rows: int = 1 << 20, block_words: int = 1 << 20, filter_bits: int = 1 << 27) -> DataFrame:
+def phrase_collocations(docs: DataFrame, *, min_count: int = 30, max_words: int = 4, nested_percent: int = 80, top: int = 2000, group_rows: int = 1 << 20, block_words: int = 1 << 21, filter_bits: int = 1 << 27) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``top`` phrases of each language.
 
     Texts, with A-Z lower-cased, are cut at ``[.,;:!?\\\\x0A-\\\\x0D]`` into pieces and those into words ``[^\\\\x20\\\\x09]+``. Candidates

@@ -99,6 +99,17 @@ def test_filters_hold_all_their_keys(spark):
     assert made.bits == 1 << 17 and not phrases.Filter.of(spark.createDataFrame([], "key long"), 1 << 20).has(keys.view(np.uint64)).any()
 
 
+def test_distinct_rows_packed_or_sorted():
+    rng = np.random.default_rng(2)
+    for wide in (1, 1 << 30):
+        columns = [rng.integers(-1, 4, 500) * wide for _ in range(4)]
+        columns = [np.where(c < 0, -1, c) for c in columns]
+        found, counts = phrases._distinct(columns)
+        assert Counter(dict(zip(zip(*(c.tolist() for c in found)), counts.tolist()))) == Counter(zip(*(c.tolist() for c in columns)))
+    found, counts = phrases._distinct([np.empty(0, np.int32)] * 5)
+    assert [len(c) for c in found] == [0] * 5 and not len(counts)
+
+
 def test_no_group_holds_a_frequent_word(spark):
     """Half of all suffixes begin with one word: its prefixes are extended, and no task gets them all."""
     rng = random.Random(8)
