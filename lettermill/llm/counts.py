@@ -18,7 +18,7 @@ _DDL = "chunk int, lot long, rows binary, vector binary, n long"
 
 def _part(chunk: int, lot: int, piece: np.ndarray, n: int) -> pa.RecordBatch:
     """The rows of a piece that are not zero."""
-    some = np.flatnonzero(piece.reshape(len(piece), -1).any(axis=1)).astype(np.int32)
+    some = np.flatnonzero(piece.any(axis=tuple(range(1, piece.ndim)))).astype(np.int32)
     return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((chunk, lot, some.tobytes(), piece[some].tobytes(), n), _PART)], schema=_PART)
 
 
