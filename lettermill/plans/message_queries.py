@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.vectors import norm
-from lettermill.operators import messages, spec, timeline
+from lettermill.operators import keywords, messages, spec, timeline
 from lettermill.operators.predicates import content_family, keyset_after, mentions, message_filter, of_account, order_by, scope_filter
 from lettermill.plans.registry import ORACLES, TS, joined, query, ts
 from lettermill.sources import archive
+from lettermill.staging import fresh_path
 
 RANGE = ("1995-01-01", "1999-01-01")
 
@@ -98,6 +101,29 @@ def mention_search(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", messages.matched_field("URGENT").alias("field"))
 
 
+TERMS = ("URGENT", "river", "ity of", "qz", "j", "No such words here")
+
+
+@query(
+    f", terms AS (SELECT unnest({list(TERMS)}) AS term) SELECT term, e.id, CASE WHEN contains(lower(subject), lower(term)) THEN 'subject' ELSE 'body' END AS field FROM emails e JOIN bodies b ON b.id = e.id, terms"
+    " WHERE contains(lower(body_text), lower(term)) OR contains(lower(subject), lower(term))"
+)
+def keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """``mention_search`` for several terms, short ones too, over an index of the bodies and subjects."""
+    path = fresh_path(spark, "keywords")
+    mails, docs = _mails(spark, d), archive.read(spark, d, "documents")
+    subjects = mails.select(F.lit("subject").alias("field"), "id", F.col("subject").alias("text"))
+    keywords.index_texts(docs.select(F.lit("body").alias("field"), F.col("doc_id").alias("id"), "text").unionAll(subjects), path, block_rows=1024)
+    of_body = mails.select("id", (F.col("id") % docs.count()).alias("b_id"))
+    found = []
+    for term in TERMS:
+        hits = keywords.keyword_search(spark, path, term)
+        bodies = hits.filter("field = 'body'").select(F.col("id").alias("b_id")).join(of_body, "b_id").select("id", F.lit(2).alias("place"))
+        places = hits.filter("field = 'subject'").select("id", F.lit(1).alias("place")).unionAll(bodies)
+        found.append(places.groupBy("id").agg(F.min("place").alias("place")).select(F.lit(term).alias("term"), "id", F.when(F.col("place") == 1, "subject").otherwise("body").alias("field")))
+    return reduce(DataFrame.unionAll, found)
+
+
 @query("SELECT e.id, CASE WHEN p = 0 THEN substr(b, 1, 300) || CASE WHEN length(b) > 300 THEN '…' ELSE '' END ELSE (CASE WHEN greatest(1, p - 50) > 1 THEN '…' ELSE '' END) || substr(b, greatest(1, p - 50), 300) || (CASE WHEN length(b) >= greatest(1, p - 50) + 300 THEN '…' ELSE '' END) END AS snippet FROM (SELECT e.id, body_text AS b, strpos(lower(body_text), 'thing') AS p FROM emails e JOIN bodies b ON b.id = e.id) e")
 def snippets(spark: SparkSession, d: str) -> DataFrame:
     rows = archive.with_bodies(_mails(spark, d), spark, d)

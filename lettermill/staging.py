@@ -34,10 +34,15 @@ def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
+def fresh_path(spark: SparkSession, name: str = "table") -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the same rows without their lineage."""
     spark = df.sparkSession
-    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
