@@ -1,12 +1,10 @@
-"""Data health: coverage, failures, yields, versions of the data, materialised aggregates."""
+"""Data health: coverage, failures, yields, versions of the data."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Extraction buckets of content types (fixed values).
@@ -138,15 +136,3 @@ def report(mails: DataFrame, contents: DataFrame, topic_members: DataFrame) -> D
 def passthrough_text(content: Column, bucket: Column) -> Column:
     """The text of types that are text already, decoded as UTF-8; null for the others."""
     return F.when(bucket.isin(*PASSTHROUGH), F.decode(content, "UTF-8"))
-
-
-def materialised(spark: SparkSession, root: str, key: str, version: str, compute: Callable[[], DataFrame]) -> DataFrame:
-    """The stored result of ``compute`` for this key and data version, computed once and read afterwards."""
-    path = f"{root.rstrip('/')}/key={key}/version={version.replace(' ', '_').replace(':', '.')}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -9,6 +9,7 @@ from lettermill.functions import text
 from lettermill.operators import events, files, health, redaction, topics
 from lettermill.plans.registry import joined, query, ts
 from lettermill.sources import archive, mailbox, sinks
+from lettermill.staging import fresh_path
 
 
 def _vector_mails(spark: SparkSession, d: str) -> DataFrame:
@@ -366,6 +367,31 @@ def stream_buckets(spark: SparkSession, d: str) -> DataFrame:
     return bucket_counts(rows, key="event_type").select(ts("window.start").alias("bucket"), "event_type", "n")
 
 
+@query(
+    """WITH days AS (SELECT *, date_diff('day', min(ts::DATE) OVER (), ts::DATE) AS day FROM events),
+arrived AS (SELECT ts, time_bucket(INTERVAL 1 HOUR, ts) AS bucket, least(5, day // 5 + CASE WHEN event_id % 40 = 0 THEN 2 ELSE 0 END) AS part FROM days),
+parts AS (SELECT part, max(ts) AS newest FROM arrived GROUP BY 1),
+marks AS (SELECT p.part, max(q.newest) - INTERVAL 10 MINUTE AS watermark FROM parts p LEFT JOIN parts q ON q.part < p.part GROUP BY 1),
+tagged AS (SELECT bucket, coalesce(bucket + INTERVAL 1 HOUR <= watermark, false) AS late FROM arrived JOIN marks USING (part))
+SELECT strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late FROM tagged GROUP BY 1""",
+    over="tables",
+)
+def stream_late_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream of six arrivals, of which every fortieth comes two arrivals late: what was counted, and what came too late."""
+    from lettermill.streaming import jobs, stores
+
+    rows = archive.read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    first = rows.agg(F.min(F.to_date("ts")).alias("d")).first()["d"]
+    part = F.least(F.lit(5), F.floor(F.date_diff("ts", F.lit(first)) / 5) + F.when(F.col("event_id") % 40 == 0, 2).otherwise(0))
+    path = fresh_path(spark, "late_buckets")
+    for k in range(6):
+        rows.filter(part == k).write.mode("append").parquet(f"{path}/in")
+        jobs.each_batch(jobs.read_files(spark, f"{path}/in", rows.schema), stores.count_buckets(path), f"{path}/checkpoint").awaitTermination()
+    counted = stores.counted_buckets(spark, path).select("start", "n", F.lit(0).alias("late"))
+    late = stores.late_rows(spark, path).select((F.col("window_end") - F.expr("INTERVAL 1 HOUR")).alias("start"), F.lit(0).alias("n"), F.lit(1).alias("late"))
+    return counted.unionAll(late).groupBy(ts("start").alias("bucket")).agg(F.sum("n").alias("n"), F.sum("late").alias("late"))
+
+
 @query(DAYS + ", spikes AS (SELECT * FROM days WHERE cnt >= 70), isl AS (SELECT *, sum(new) OVER (PARTITION BY series ORDER BY day) AS g FROM (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY series ORDER BY day) <= 3 THEN 0 ELSE 1 END AS new FROM spikes)) SELECT series, strftime(min(day), '%Y-%m-%d') AS first_spike, strftime(max(day), '%Y-%m-%d') AS last_spike, sum(cnt)::BIGINT AS spike_total FROM isl GROUP BY series, g", over="tables")
 def stream_spikes(spark: SparkSession, d: str) -> DataFrame:
     from lettermill.streaming.jobs import spike_sessions

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lettermill.functions.vectors import literal
 from lettermill.operators import contacts, retrieval, threads
 from lettermill.operators.predicates import mentions, scope_filter
-from lettermill.plans.registry import joined, query, ts
+from lettermill.plans.registry import ORACLES, joined, query, ts
 from lettermill.sources import archive
+from lettermill.staging import fresh_path, staged
 
 STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
 
@@ -29,6 +30,21 @@ def address_book(spark: SparkSession, d: str) -> DataFrame:
     return _book(spark, d).select("address", "name", "is_user", ts("first_seen").alias("first_seen"), ts("last_seen").alias("last_seen"), "messages_from", "messages_to")
 
 
+@query(ORACLES["address_book"].removeprefix(archive.SQL))
+def stream_address_book(spark: SparkSession, d: str) -> DataFrame:
+    """The same book, upserted import by import from a stream of messages."""
+    from lettermill.streaming import jobs, stores
+
+    path = fresh_path(spark, "book")
+    mails = archive.emails(spark, d).select("sender_address", "sender_name", "recipients", "date", "import_id")
+    me = staged(archive.identities(spark, d), "me")
+    for k in range(4):
+        mails.filter(F.col("import_id") == f"imp{k}").write.mode("append").parquet(f"{path}/in")
+        jobs.each_batch(jobs.read_files(spark, f"{path}/in", mails.schema), stores.upsert_statistics(path, me, buckets=16), f"{path}/checkpoint").awaitTermination()
+    book = jobs.book_of_statistics(stores.running_statistics(spark, path), me)
+    return book.select("address", "name", "is_user", ts("first_seen").alias("first_seen"), ts("last_seen").alias("last_seen"), "messages_from", "messages_to")
+
+
 @query(BOOK + ", touched AS (SELECT sender_address AS address FROM emails WHERE import_id = 'imp1' UNION SELECT recipient_address FROM sent_to s JOIN emails e ON e.id = s.id WHERE e.import_id = 'imp1' AND s.sender_address IN (SELECT address FROM me)) SELECT address, messages_from, messages_to FROM book WHERE address IN (SELECT address FROM touched)")
 def address_book_of_import(spark: SparkSession, d: str) -> DataFrame:
     m, me = archive.emails(spark, d), archive.identities(spark, d)

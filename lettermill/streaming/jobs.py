@@ -79,10 +79,10 @@ def book_of_statistics(state: DataFrame, me: DataFrame) -> DataFrame:
     return book.join(own, "address", "left").withColumn("is_user", F.col("u").isNotNull()).drop("u")
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows that the watermark has kept out of the query's state, over the progress reports that the query still holds.
+def least_late_rows(query: StreamingQuery) -> int:
+    """A lower bound of the rows that the watermark has kept out of the query's state, from the progress reports that it still holds.
 
-    They are counted behind the partial aggregation: late rows of one key in one task are one.
+    Spark counts behind the partial aggregation: late rows of one key in one task are one. ``stores.count_buckets`` has each row.
     """
     return sum(s.numRowsDroppedByWatermark for p in query.recentProgress for s in p.stateOperators)
 

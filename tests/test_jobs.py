@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lettermill.operators import events, files, health, redaction, topics
-from lettermill.sources import mailbox, schemas, sinks
+from lettermill.sources import mailbox, schemas, sinks, versions
 from lettermill.streaming import jobs
 
 
@@ -201,8 +201,8 @@ def test_health_and_sinks(spark, tmp_path):
     assert [r["o"] for r in rows] == ["extracted", "skipped", "skipped", "skipped"]
     calls = []
     make = lambda: calls.append(1) or df
-    assert health.materialised(spark, f"file://{tmp_path}/m", "k", "1-2025-01-01 00:00:00", make).count() == 4
-    assert health.materialised(spark, f"file://{tmp_path}/m", "k", "1-2025-01-01 00:00:00", make).count() == 4 and len(calls) == 1
+    assert versions.materialised(spark, f"file://{tmp_path}/m", "k", "1-2025-01-01 00:00:00", make).count() == 4
+    assert versions.materialised(spark, f"file://{tmp_path}/m", "k", "1-2025-01-01 00:00:00", make).count() == 4 and len(calls) == 1
     sinks.write_csv(df, f"{tmp_path}/c")
     sinks.write_json(df, f"{tmp_path}/j")
     assert spark.read.option("header", True).csv(f"{tmp_path}/c").count() == 4 and spark.read.json(f"{tmp_path}/j").count() == 4
@@ -261,7 +261,7 @@ def test_stream_counts_late_rows(spark, tmp_path):
         stream = jobs.read_files(spark, src, spark.createDataFrame([], "ts timestamp").schema)
         job = jobs.each_batch(jobs.bucket_counts(stream), lambda b, i: b.count(), f"{tmp_path}/cp", "update")
         job.awaitTermination(120)
-        n += jobs.late_rows(job)
+        n += jobs.least_late_rows(job)
     assert n == 2
 
 
