@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions import text
-from lettermill.operators import events, files, health, redaction, topics
-from lettermill.plans.registry import joined, query, ts
+from lettermill.operators import events, files, health, redaction, rollups, topics
+from lettermill.plans.registry import ORACLES, joined, query, ts
 from lettermill.sources import archive, mailbox, sinks
-from lettermill.staging import fresh_path
+from lettermill.staging import fresh_path, staged
 
 
 def _vector_mails(spark: SparkSession, d: str) -> DataFrame:
@@ -213,6 +213,34 @@ def archive_summary(spark: SparkSession, d: str) -> DataFrame:
     return health.archive_summary(archive.emails(spark, d), archive.attachments(archive.attachment_lines(spark, d)), archive.read(spark, d, "customer"))
 
 
+def _rolled(spark: SparkSession, d: str) -> str:
+    """The partial aggregates of the archive's four imports."""
+    root = fresh_path(spark, "rollups")
+    mails, bridge, me = archive.emails(spark, d), archive.bridge(archive.attachment_lines(spark, d)), staged(archive.identities(spark, d), "me")
+    mails = staged(mails, "mails")
+    for i in range(4):
+        rollups.add_import(root, f"imp{i}", "1", mails.filter(F.col("import_id") == f"imp{i}"), bridge, me)
+    return root
+
+
+@query(ORACLES["archive_summary"].removeprefix(archive.SQL))
+def rolled_summary(spark: SparkSession, d: str) -> DataFrame:
+    """``archive_summary`` from the imports' partial aggregates."""
+    return rollups.summary(spark, _rolled(spark, d), archive.read(spark, d, "customer"))
+
+
+@query("SELECT address AS key, count(*) AS messages FROM (SELECT sender_address AS address FROM emails UNION ALL SELECT recipient_address FROM sent_to WHERE sender_address IN (SELECT address FROM me)) WHERE address NOT IN (SELECT address FROM me) GROUP BY 1")
+def rolled_contacts(spark: SparkSession, d: str) -> DataFrame:
+    return rollups.top_contacts(rollups.partials(spark, _rolled(spark, d), "met"), archive.identities(spark, d))
+
+
+@query("SELECT 'messages' AS lane, strftime(date_trunc('quarter', date), '%Y-%m-%d %H:%M:%S') AS bucket, count(*) AS n FROM emails WHERE date >= '1995-01-01' AND date < '1998-07-01' GROUP BY 2 UNION ALL SELECT 'attachments', strftime(date_trunc('quarter', date), '%Y-%m-%d %H:%M:%S'), count(*) FROM bridge b JOIN emails e ON e.id = b.email_id WHERE date >= '1995-01-01' AND date < '1998-07-01' GROUP BY 2 UNION ALL SELECT 'density', strftime(date_trunc('quarter', date), '%Y-%m-%d %H:%M:%S'), count(*) FROM emails WHERE date IS NOT NULL GROUP BY 2")
+def rolled_lanes(spark: SparkSession, d: str) -> DataFrame:
+    """The exact lanes of stored days; the estimated one, people, has a test of its own."""
+    days = rollups.partials(spark, _rolled(spark, d), "days")
+    return rollups.lanes(days, unit="quarter", after="1995-01-01", before="1998-07-01").filter("lane <> 'people'").select("lane", ts("bucket").alias("bucket"), "n")
+
+
 @query("SELECT count(*) FILTER (n = 1) AS single, max(n) AS largest, count(*) AS threads FROM (SELECT count(*) AS n FROM emails GROUP BY thread_id)")
 def thread_sizes(spark: SparkSession, d: str) -> DataFrame:
     return health.thread_sizes(archive.emails(spark, d))

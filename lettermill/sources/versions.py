@@ -89,6 +89,18 @@ def lookup(root: str, key: str, version: str) -> str | None:
     return next((e.place for e in reversed(entries(root)) if (e.key, e.version) == (key, version)), None)
 
 
+def newest(root: str) -> dict[str, Entry]:
+    """The last entry of each key."""
+    return {e.key: e for e in entries(root)}
+
+
+def supersede(root: str, key: str) -> None:
+    """Drops the entries of a key before its last; their data go when ``expire`` finds them old enough."""
+    store, _ = _store(root)
+    for e in [e for e in entries(root) if e.key == key][:-1]:
+        store.delete_file(e.file)
+
+
 def new_place(root: str) -> str:
     return f"{root.rstrip('/')}/data/{uuid.uuid4().hex}"
 
