@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Parts that one group merges. With ``LEVELS`` levels before the last, FAN ** (LEVELS + 1) tasks never meet in a larger group.
-FAN, LEVELS = 64, 2
+#: Parts that one group merges at most.
+FAN = 64
 _PART = pa.schema([("chunk", pa.int32()), ("lot", pa.int64()), ("rows", pa.binary()), ("vector", pa.binary()), ("n", pa.int64())])
 _DDL = "chunk int, lot long, rows binary, vector binary, n long"
 
@@ -57,11 +57,12 @@ def merged(parts: DataFrame, shape: tuple[int, ...], dtype: type, chunks: int =
 def summed(rows: DataFrame, add: Callable[[np.ndarray, list], None], shape: tuple[int, ...], dtype: type, chunks: int = 8) -> tuple[np.ndarray, int]:
     """(vector, rows): ``add(total, values)`` adds the values of the one column of ``rows`` to a task's total, batch by batch.
 
-    The driver gets one vector.
+    There are as many levels as the number of tasks asks for, one for up to ``FAN``. The driver gets one vector.
     """
-    parts = partial_sums(rows, add, shape, dtype, chunks)
-    for fan in (*[FAN] * LEVELS, None):
-        parts = merged(parts, shape, dtype, chunks, fan)
+    parts, tasks = partial_sums(rows, add, shape, dtype, chunks), rows.rdd.getNumPartitions()
+    while tasks > FAN:
+        parts, tasks = merged(parts, shape, dtype, chunks), -(-tasks // FAN)
+    parts = merged(parts, shape, dtype, chunks, None)
     out, n = np.zeros(shape, dtype), 0
     starts = np.concatenate([[0], np.cumsum([len(p) for p in np.array_split(np.empty(shape[0], bool), chunks)])])
     for r in parts.collect():
