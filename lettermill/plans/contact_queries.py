@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.vectors import literal
-from lettermill.operators import contacts, retrieval, threads
+from lettermill.operators import contacts, retrieval, threads, vector_store
 from lettermill.operators.predicates import mentions, scope_filter
 from lettermill.plans.registry import ORACLES, joined, query, ts
 from lettermill.sources import archive
@@ -190,6 +190,16 @@ def semantic_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.semantic_search(m, _query_vector(spark, d), limit=60, after="1996-01-01", has_attachment=True).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(ORACLES["semantic_search"].removeprefix(archive.SQL))
+def stored_semantic_search(spark: SparkSession, d: str) -> DataFrame:
+    """``semantic_search`` over stored vectors, as matrix products."""
+    path = fresh_path(spark, "vectors")
+    mails = archive.emails(spark, d).select("id", "date", "has_attachment")
+    vector_store.store_vectors(archive.with_vectors(mails, spark, d), path)
+    found = vector_store.stored_search(spark, path, _query_vector(spark, d), limit=60, after="1996-01-01", has_attachment=True)
+    return found.select("id", F.round("similarity", 6).alias("similarity"))
+
+
 def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     lines = archive.attachment_lines(spark, d)
     contents = archive.contents(archive.attachments(lines))

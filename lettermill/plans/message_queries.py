@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions.vectors import norm
-from lettermill.operators import keywords, messages, spec, timeline
+from lettermill.operators import keywords, messages, pages, spec, timeline
 from lettermill.operators.predicates import content_family, keyset_after, mentions, message_filter, of_account, order_by, scope_filter
 from lettermill.plans.registry import ORACLES, TS, joined, query, ts
 from lettermill.sources import archive
@@ -90,6 +91,20 @@ def page_after_cursor(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.col("date").asc_nulls_last(), "id").limit(101).select("id", ts("date").alias("date"))
 
 
+@query(ORACLES["page_after_cursor"].removeprefix(archive.SQL).replace("LIMIT 101", "LIMIT 150"))
+def laid_out_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of fifty from a table that is laid out in their order, each after the last row of the one before."""
+    path = fresh_path(spark, "pages")
+    pages.lay_out(_mails(spark, d).select("id", "date"), path, rows_per_part=1000)
+    cursor, found = (datetime(1998, 6, 1), 500), []
+    for _ in range(3):
+        found.append(pages.page(spark, path, after=cursor, limit=50))
+        if not (rows := found[-1].collect()):
+            break
+        cursor = (rows[-1]["date"], rows[-1]["id"])
+    return reduce(DataFrame.unionAll, found).select("id", ts("date").alias("date"))
+
+
 @query("SELECT pos, e.id, message_id FROM (SELECT unnest([7, 3, 999999999, 12, 5]) AS id, generate_subscripts([7, 3, 999999999, 12, 5], 1) - 1 AS pos) w JOIN emails e ON e.id = w.id")
 def records_by_ids(spark: SparkSession, d: str) -> DataFrame:
     return messages.by_ids(_mails(spark, d), [7, 3, 999999999, 12, 5]).select("pos", "id", "message_id")
