@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Extraction buckets of content types (fixed values).
@@ -134,5 +134,16 @@ def report(mails: DataFrame, contents: DataFrame, topic_members: DataFrame) -> D
 
 
 def passthrough_text(content: Column, bucket: Column) -> Column:
-    """The text of types that are text already, decoded as UTF-8; null for the others."""
-    return F.when(bucket.isin(*PASSTHROUGH), F.decode(content, "UTF-8"))
+    """The text of types that are text already, decoded as UTF-8 with U+FFFD for broken bytes; null for the others."""
+    return F.when(bucket.isin(*PASSTHROUGH), F.make_valid_utf8(content.cast("string")))
+
+
+def read_texts(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+    """path, bucket, text, size of each file under a folder that is not empty.
+
+    Files that are text already, by the content type of their extension, are decoded; the others have no text here.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    table = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
+    kind = F.try_element_at(table, F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]{1,8})$", 1)))
+    return files.select("path", route(kind).alias("bucket"), "content", F.col("length").alias("size")).select("path", "bucket", passthrough_text(F.col("content"), F.col("bucket")).alias("text"), "size")

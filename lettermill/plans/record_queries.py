@@ -9,7 +9,8 @@ from lettermill.functions import text
 from lettermill.operators import cards, contacts, events, files, health, messages, threads, topics
 from lettermill.operators.predicates import keyset_after
 from lettermill.plans.registry import TS, joined, query, ts
-from lettermill.sources import archive, mailbox
+from lettermill.sources import archive, mailbox, mbox
+from lettermill.staging import fresh_path
 
 
 @query(f"SELECT id, {TS.format('date')} AS date FROM emails WHERE thread_id = 't42'")
@@ -270,3 +271,34 @@ def pdf_files(spark: SparkSession, d: str) -> DataFrame:
     counts = archive.bridge(lines).groupBy("sha256").agg(F.count(F.lit(1)).alias("duplicates"))
     rows = cards.with_status(atts.filter(cards.attachment_filter(content_types=["application/pdf"])), archive.contents(atts)).join(counts, "sha256")
     return rows.orderBy(F.desc("duplicates"), "sha256").limit(20).select("sha256", "status", "duplicates")
+
+
+def _raw_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The archive's messages as text; every fiftieth has lost its Message-ID, every seventy-seventh cannot be read at all."""
+    m = archive.emails(spark, d).select("id", "message_id", "sender_address", "sender_name", "subject", "import_id")
+    ident = F.when(F.col("id") % 50 != 0, F.concat(F.lit("Message-ID: <"), "message_id", F.lit(">\n"))).otherwise("")
+    said = F.concat(F.lit("From x\n"), ident, F.lit("From: "), F.coalesce("sender_name", F.lit("")), F.lit(" <"), "sender_address", F.lit(">\nSubject: "), "subject", F.lit("\n\nFrom the body of "), F.col("id").cast("string"), F.lit("\n"))
+    return m.select(F.when(F.col("id") % 77 != 0, said).alias("said"), "import_id")
+
+
+@query("SELECT import_id, count(*) AS messages, count(*) FILTER (id % 77 = 0 OR id % 50 = 0) AS errors, count(*) FILTER (id % 77 <> 0 AND id % 50 = 0) AS no_id FROM emails GROUP BY 1")
+def quarantined_messages(spark: SparkSession, d: str) -> DataFrame:
+    raw = _raw_messages(spark, d).select(F.col("said").cast("binary").alias("raw"), "import_id")
+    return mailbox.store_parsed(raw, fresh_path(spark, "parsed"))
+
+
+@query("SELECT message_id, sender_address, subject FROM emails WHERE id % 77 <> 0 AND id % 50 <> 0")
+def mbox_messages(spark: SparkSession, d: str) -> DataFrame:
+    """The same messages written to mailbox files and read back in ranges of 20,000 bytes."""
+    path = fresh_path(spark, "mbox")
+    _raw_messages(spark, d).filter("said is not null").select(F.rtrim("said").alias("said")).write.text(path)
+    mbox.register(spark)
+    rows = spark.read.format("mbox").option("split_bytes", 20_000).load(path)
+    return mailbox.parse_messages(rows.select("raw")).select("message_id", "sender_address", "subject")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'text' WHEN doc_id % 3 = 1 THEN 'pdf' ELSE 'csv' END AS bucket, CASE WHEN doc_id % 3 <> 1 THEN md5(coalesce(text, '')) END AS text_md5 FROM documents", over="tables")
+def passthrough_texts(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.when(F.col("doc_id") % 3 == 0, "text/plain").when(F.col("doc_id") % 3 == 1, "application/pdf").otherwise("TEXT/CSV")
+    files = archive.read(spark, d, "documents").select("doc_id", health.route(kinds).alias("bucket"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    return files.select("doc_id", "bucket", F.md5(health.passthrough_text(F.col("content"), F.col("bucket"))).alias("text_md5"))

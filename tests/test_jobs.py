@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import io
+from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill.operators import events, files, health, redaction, topics
-from lettermill.sources import mailbox, schemas, sinks, versions
+from lettermill.sources import mailbox, mbox, schemas, sinks, versions
 from lettermill.streaming import jobs
 
 
@@ -158,6 +160,40 @@ def test_mailbox(spark, tmp_path):
     assert contents.first()["storage_path"].endswith(".pdf") and bridge.count() == 1
 
 
+@pytest.mark.parametrize("split", [1, 7, 50, 301, 10**6])
+def test_mbox_ranges_give_every_message_once(spark, tmp_path, split):
+    """The messages of scan_mbox, wherever the cuts fall: in a separator, before it, in a message that spans many ranges."""
+    odd = {"a.mbox": MBOX, "b.mbox": "", "c.mbox": "no separator at all", "d.mbox": "From a\n\nFrom b\n\nFrom \nFrom c\n>From d\n\n" + "x" * 400 + "\nFrom e\n", "e.mbox": "\nFrom \nFrom \n", "f.mbox": "head\nFrom "}
+    (tmp_path / "boxes").mkdir()
+    for name, text in odd.items():
+        (tmp_path / "boxes" / name).write_text(text)
+    mbox.register(spark)
+    rows = spark.read.format("mbox").option("split_bytes", split if split > 1 else 3).load(f"file://{tmp_path}/boxes")
+    key = lambda r: (r["source_file"].rsplit("/", 1)[1], bytes(r["raw"]))
+    want = Counter(map(key, mailbox.scan_mbox(spark, f"file://{tmp_path}/boxes").collect()))
+    assert Counter(map(key, rows.collect())) == want and sum(want.values()) > 12
+    if split == 1:
+        for name, text in odd.items():
+            for size in (1, 2):
+                got = [m for a in range(0, len(text), size) for _, m in mbox.messages(io.BytesIO(text.encode()), a, min(a + size, len(text)), chunk=4)]
+                assert Counter(got) == Counter({raw: n for (f, raw), n in want.items() if f == name})
+
+
+def test_quarantine_and_text_files(spark, tmp_path):
+    said = MBOX.encode().split(b"\nFrom ")
+    raw = spark.createDataFrame([(m, f"i{k % 2}", f"f{k}") for k, m in enumerate([*said, None])], "raw binary, import_id string, source_file string")
+    path = f"file://{tmp_path}/parsed"
+    assert {tuple(r) for r in mailbox.store_parsed(raw, path).collect()} == {("i0", 3, 2, 1), ("i1", 2, 0, 0)}
+    assert {r["message_id"] for r in mailbox.parsed_rows(spark, path).collect()} == {"m1@x", "m2@x", "m3@x"}
+    bad = {r["source_file"]: (r["error"], r["raw"]) for r in mailbox.rejected_rows(spark, path).collect()}
+    assert set(bad) == {"f2", "f4"} and bad["f2"] == (mailbox.NO_ID, said[2]) and bad["f4"][1] is None and "TypeError" in bad["f4"][0]
+    (tmp_path / "files/deep").mkdir(parents=True)
+    for name, data in {"a.txt": "é".encode(), "b.PDF": b"%PDF", "deep/c.csv": b"a\xff,b", "d": b"x", "e.txt": b""}.items():
+        (tmp_path / "files" / name).write_bytes(data)
+    got = {r["path"].rsplit("/", 1)[1]: (r["bucket"], r["text"], r["size"]) for r in health.read_texts(spark, f"file://{tmp_path}/files", {"txt": "text/plain", "pdf": "application/pdf", "csv": "text/csv"}).collect()}
+    assert got == {"a.txt": ("text", "é", 2), "b.PDF": ("pdf", None, 4), "c.csv": ("csv", "a\ufffd,b", 4), "d": (None, None, 1)}
+
+
 def test_ledger(spark):
     ledger = spark.createDataFrame([("1", "a", "f1", datetime(2025, 1, 1), "running"), ("2", "a", "f1", datetime(2025, 1, 2), "running"), ("3", "a", "f2", datetime(2025, 1, 1), "completed")], "id string, source_account string, source_file string, started_at timestamp, status string")
     wanted = spark.createDataFrame([("a", "f1"), ("a", "f2"), ("a", "f3")], "source_account string, source_file string")

@@ -86,3 +86,18 @@ def test_stream_first_of_each_id(spark, tmp_path):
     stream = jobs.read_files(spark, f"{tmp_path}/in", rows.schema, per_trigger=1)
     jobs.run_available(jobs.first_of_each_id(stream), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     assert sorted(r["message_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["m0", "m1", "m2"]
+
+
+def test_deep_trees_and_cycles(spark):
+    """A chain of 100, a bush under it, and cycles: marked or an error, never lost."""
+    rows = [(i, i - 1 if i else None) for i in range(100)] + [(1000 + i, 99) for i in range(20)]
+    want = {i: (" > ".join(map(str, range(i + 1))), i) for i in range(100)} | {1000 + i: (" > ".join(map(str, range(100))) + f" > {1000 + i}", 100) for i in range(20)}
+    tree = lambda r, **how: {x["id"]: (x["path"], x["depth"]) for x in threads.tree_paths(spark.createDataFrame(r, "id long, parent_id long"), **how).collect()}
+    assert tree(rows) == want
+    loops = [(2000, 2001), (2001, 2002), (2002, 2000), (2003, 2002), (3000, 3000), (4000, 9999)]
+    assert tree(rows + loops, cycles="mark") == want | {i: (None, None) for i, _ in loops[:5]} | {4000: ("4000", 0)}
+    with pytest.raises(ValueError):
+        tree(rows + loops)
+    with pytest.raises(ValueError):
+        tree([(1, None), (1, None)])
+    assert tree([]) == {}
