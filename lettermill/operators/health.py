@@ -67,6 +67,11 @@ def yields(contents: DataFrame) -> DataFrame:
     return rows.withColumn("yield_percent", F.when(tried > 0, F.round(100 * F.col("extracted") / tried, 1)))
 
 
+def averages(contents: DataFrame) -> DataFrame:
+    """content_type, extraction_ms, chunks: the averages of what was extracted (status, content_type, extraction_ms, n_chunks)."""
+    return contents.filter("status = 'extracted'").groupBy("content_type").agg(F.avg("extraction_ms").alias("extraction_ms"), F.avg("n_chunks").alias("chunks"))
+
+
 def outcome(error: Column, bucket: Column, text: Column, size: Column) -> Column:
     """The status of an extraction: skipped where unsupported, too small or empty, failed on an error, else extracted."""
     small = (bucket == "image") & (size < MIN_IMAGE_BYTES)

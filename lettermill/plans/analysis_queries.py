@@ -381,6 +381,17 @@ def backfilled_accounts(spark: SparkSession, d: str) -> DataFrame:
     return mailbox.backfill_account(untagged, archive.email_accounts(m).filter("email_id < 0"), "late")[0].select("id", "source_account")
 
 
+@query("SELECT 'mig' AS id, 'late' AS source_account, 'migration' AS source_file, 'completed' AS status, count(*) FILTER (id % 3 = 1) AS messages_total, count(*) FILTER (id % 3 = 1) AS messages_inserted, count(*) FILTER (id % 3 = 1) AS attributed, 0 AS again FROM emails")
+def migration_imports(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger's row of a backfill, how many attribution rows carry it, and how many messages a second one would tag."""
+    m = archive.emails(spark, d)
+    untagged = m.withColumn("source_account", F.when(F.col("id") % 3 != 1, F.col("source_account")))
+    tagged, accounts = mailbox.backfill_account(untagged, archive.email_accounts(m).filter("email_id < 0"), "late", "mig")
+    carried = accounts.agg(F.count_if(F.col("import_id") == "mig").alias("attributed"))
+    again = mailbox.migration_import(tagged, "late", "mig2").select(F.col("messages_total").alias("again"))
+    return mailbox.migration_import(untagged, "late", "mig").crossJoin(carried).crossJoin(again)  # of one row each
+
+
 @query("SELECT '- **' || c_name || '** — c_mktsegment: ' || c_mktsegment || '; c_nationkey: ' || c_nationkey AS value FROM customer", over="tables")
 def markdown_export(spark: SparkSession, d: str) -> DataFrame:
     return sinks.markdown_lines(archive.read(spark, d, "customer"), "c_name", "c_mktsegment", "c_nationkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lettermill.operators import cards, embedding
+from lettermill.operators import cards, embedding, health
 from lettermill.operators.retrieval import ranked
 from lettermill.plans.registry import joined, query, ts
 from lettermill.sources import archive
@@ -123,8 +123,8 @@ def known_source_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT content_type, round(avg(extraction_ms), 6) AS extraction_ms, round(avg(n_chunks), 6) AS chunks FROM contents WHERE status = 'extracted' GROUP BY 1")
 def extraction_averages(spark: SparkSession, d: str) -> DataFrame:
-    done = _files(spark, d)[2].filter("status = 'extracted'")
-    return done.groupBy("content_type").agg(F.round(F.avg("extraction_ms"), 6).alias("extraction_ms"), F.round(F.avg("n_chunks"), 6).alias("chunks"))
+    rows = health.averages(_files(spark, d)[2])
+    return rows.select("content_type", F.round("extraction_ms", 6).alias("extraction_ms"), F.round("chunks", 6).alias("chunks"))
 
 
 @query()

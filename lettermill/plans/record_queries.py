@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.functions import text
-from lettermill.operators import cards, contacts, events, files, health, messages, threads, topics
+from lettermill.operators import cards, contacts, events, files, health, messages, threads, timeline, topics
 from lettermill.operators.predicates import keyset_after
 from lettermill.plans.registry import TS, joined, query, ts
-from lettermill.sources import archive, mailbox, mbox
+from lettermill.sources import archive, mailbox, mbox, sinks
 from lettermill.staging import fresh_path
 
 
@@ -236,18 +236,52 @@ def probability_bands(spark: SparkSession, d: str) -> DataFrame:
     return contacts.probability_bands(archive.read(spark, d, "customer").select((F.col("c_custkey") % 100 / F.lit(100.0)).alias("human_probability")))
 
 
-@query("SELECT doc_id, md5('Subject: ' || coalesce(source, '') || chr(10) || 'From: ' || coalesce(lang, '') || chr(10) || chr(10) || coalesce(text, '')) AS text_md5 FROM documents WHERE strlen(text) < 8000", over="tables")
+@query(
+    r"""WITH RECURSIVE whole AS (SELECT doc_id, 'Subject: ' || coalesce(source, '') || chr(10) || 'From: ' || coalesce(lang, '') || chr(10) || chr(10) || coalesce(text, '') AS t FROM documents),
+found(doc_id, low, high) AS (SELECT doc_id, 0, length(t) FROM whole UNION ALL
+  SELECT doc_id, CASE WHEN fits THEN mid ELSE low END, CASE WHEN fits THEN high ELSE mid - 1 END FROM (SELECT doc_id, low, high, mid, strlen(s) // 4 + coalesce(list_sum(list_transform(regexp_extract_all(s, 'https?://\S+'), lambda u: strlen(u))), 0)::BIGINT // 2 <= 7500 AS fits
+    FROM (SELECT f.*, (low + high + 1) // 2 AS mid, left(t, (low + high + 1) // 2) AS s FROM found f JOIN whole w ON w.doc_id = f.doc_id WHERE low < high)))
+SELECT w.doc_id, length(left(t, low))::INT AS chars, md5(left(t, low)) AS text_md5 FROM found f JOIN whole w ON w.doc_id = f.doc_id WHERE low = high""".replace("\\\\", "\\"),
+    over="tables",
+)
 def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = archive.read(spark, d, "documents").filter("octet_length(text) < 8000")
-    return rows.select("doc_id", F.md5(text.embedding_text("source", "lang", "text")).alias("text_md5"))
+    """Every text, those that are cut too."""
+    rows = archive.read(spark, d, "documents").select("doc_id", text.embedding_text("source", "lang", "text").alias("t"))
+    return rows.select("doc_id", F.length("t").alias("chars"), F.md5("t").alias("text_md5"))
 
 
-@query(", e AS (SELECT b.id, CASE WHEN trim(coalesce(body_text, ''), ' ') <> '' THEN body_text ELSE '' END AS t FROM bodies b) SELECT id, length(substr(t, 1, 2000))::INT AS chars, sha256(substr(t, 1, 300)) AS sha256 FROM e")
+@query(", e AS (SELECT id, CASE WHEN id % 3 <> 0 AND trim(coalesce(body_text, ''), ' ') <> '' THEN body_text ELSE trim(regexp_replace(coalesce('<div><p class=x>' || body_text || '</p><br/></div>', ''), '<[^>]+>', ' ', 'g'), ' ') END AS t FROM bodies) SELECT id, length(substr(t, 1, 2000))::INT AS chars, sha256(substr(t, 1, 300)) AS sha256 FROM e")
 def evidence_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = archive.with_bodies(archive.emails(spark, d).select("id"), spark, d).withColumn("body_html", F.lit(None).cast("string"))
+    """A third of the messages have markup only."""
+    rows = archive.with_bodies(archive.emails(spark, d).select("id"), spark, d).withColumn("body_html", F.concat(F.lit("<div><p class=x>"), "body_text", F.lit("</p><br/></div>")))
+    rows = rows.withColumn("body_text", F.when(F.col("id") % 3 != 0, F.col("body_text")))
     return rows.select("id", text.evidence_text("body_text", "body_html").alias("e")).select("id", F.length("e.text").alias("chars"), "e.sha256")
 
 
+@query("SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS done, count(*) / 30 AS rate FROM (SELECT date_trunc('minute', ts) - to_minutes(unnest(range(30))::INT) AS start FROM events) GROUP BY 1", over="tables")
+def stream_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """The stream job's sliding windows over the same rows read as a batch."""
+    from lettermill.streaming.jobs import throughput
+
+    rows = archive.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    return throughput(rows).select(ts("window.start").alias("start"), "done", "rate")
+
+
+@query(", n AS (SELECT sender_address, count(*) FILTER (year(date) = 1996) AS old, count(*) FILTER (year(date) = 1997) AS new FROM emails GROUP BY 1) SELECT sender_address, old, new, CASE WHEN old = 0 AND new = 0 THEN 0 WHEN old = 0 THEN NULL ELSE round((new - old) / old * 100, 6) END AS change FROM n")
+def yearly_changes(spark: SparkSession, d: str) -> DataFrame:
+    year = lambda y: F.count_if(F.year("date") == y)
+    rows = archive.emails(spark, d).groupBy("sender_address").agg(year(1996).alias("old"), year(1997).alias("new"))
+    return rows.withColumn("change", F.round(timeline.percent_change(F.col("old"), F.col("new")), 6))
+
+
+@query("SELECT substr(sha256, 1, 2) AS prefix, sha256, filename AS text FROM contents WHERE status = 'extracted'")
+def mirrored_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The mirror of extracted texts, read back from its partitions; the file name stands for the text."""
+    path = fresh_path(spark, "mirror")
+    sinks.write_mirror(archive.contents(archive.attachments(archive.attachment_lines(spark, d))), path, text="filename")
+    return spark.read.parquet(path).select(F.col("prefix").cast("string").alias("prefix"), "sha256", F.col("filename").alias("text"))
+
+
 @query(f"SELECT id, subject FROM emails WHERE sender_domain = 'd1.example' ORDER BY sender_address, id LIMIT 70")
 def spec_hidden_order(spark: SparkSession, d: str) -> DataFrame:
     from lettermill.operators import spec
