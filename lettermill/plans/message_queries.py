@@ -128,11 +128,11 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "keywords")
     mails, docs = _mails(spark, d), archive.read(spark, d, "documents")
     subjects = mails.select(F.lit("subject").alias("field"), "id", F.col("subject").alias("text"))
-    keywords.index_texts(docs.select(F.lit("body").alias("field"), F.col("doc_id").alias("id"), "text").unionAll(subjects), path, block_rows=1024)
+    keywords.index_texts(docs.select(F.lit("body").alias("field"), F.col("doc_id").alias("id"), "text").unionAll(subjects), path, block_rows=1024, buckets=16)
     of_body = mails.select("id", (F.col("id") % docs.count()).alias("b_id"))
     found = []
     for term in TERMS:
-        hits = keywords.keyword_search(spark, path, term)
+        hits = keywords.keyword_search(spark, path, term, buckets=16)
         bodies = hits.filter("field = 'body'").select(F.col("id").alias("b_id")).join(of_body, "b_id").select("id", F.lit(2).alias("place"))
         places = hits.filter("field = 'subject'").select("id", F.lit(1).alias("place")).unionAll(bodies)
         found.append(places.groupBy("id").agg(F.min("place").alias("place")).select(F.lit(term).alias("term"), "id", F.when(F.col("place") == 1, "subject").otherwise("body").alias("field")))
