@@ -44,6 +44,37 @@ def touched_addresses(mails: DataFrame, me: DataFrame) -> DataFrame:
     return mails.select(normalised("sender_address").alias("address")).union(got).filter("address is not null and address <> ''").distinct()
 
 
+def address_statistics(rows: DataFrame, me: DataFrame, *, only: DataFrame | None = None) -> DataFrame:
+    """Figures of each (address, name): messages_from, messages_to, first_seen, last_seen.
+
+    A message counts once for its sender and, where the sender is in ``me`` (address, a static table), once for each address it goes
+    to; the messages are read once. Counts, minima and maxima merge, so parts, or the last state of a stream, equal a full build.
+    ``only`` (address) limits the addresses; ``book_of_statistics`` makes the book.
+    """
+    own = me.select(normalised("address").alias("sender_address")).distinct().withColumn("mine", F.lit(True))
+    none = F.array().cast("array<string>")
+    arms = F.concat(*(F.coalesce(F.col(f"recipients.{a}"), none) for a in ("to", "cc", "bcc")))
+    tagged = rows.withColumn("sender_address", normalised("sender_address")).join(own, "sender_address", "left")
+    side = lambda address, name, sent: F.struct(address.alias("address"), name.alias("name"), F.lit(sent).alias("sent"))
+    sender = F.array(side(F.col("sender_address"), F.nullif("sender_name", F.lit("")), True))
+    got = F.transform(F.array_distinct(F.transform(arms, normalised)), lambda a: side(a, F.lit(None).cast("string"), False))
+    met = tagged.select("date", F.explode(F.concat(sender, F.when(F.col("mine"), got).otherwise(F.slice(sender, 1, 0)))).alias("m")).select("date", "m.*")
+    met = met.filter("address <> ''")
+    if only is not None:
+        met = met.join(only.select("address").distinct(), "address", "left_semi")
+    return met.groupBy("address", "name").agg(F.count_if("sent").alias("messages_from"), F.count_if(~F.col("sent")).alias("messages_to"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
+
+
+def book_of_statistics(state: DataFrame, me: DataFrame) -> DataFrame:
+    """The address book of such figures: address, name, name_variants, is_user, first_seen, last_seen, messages_from, messages_to."""
+    own = me.select(normalised("address").alias("address")).distinct().withColumn("u", F.lit(True))
+    book = state.groupBy("address").agg(
+        F.min_by("name", F.when(F.col("name").isNotNull(), F.struct(-F.col("messages_from"), F.col("name")))).alias("name"), F.array_sort(F.collect_set("name")).alias("name_variants"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("messages_from").alias("messages_from"), F.sum("messages_to").alias("messages_to"),
+    )
+    return book.join(own, "address", "left").withColumn("is_user", F.col("u").isNotNull()).drop("u")
+
+
 def address_book(mails: DataFrame, me: DataFrame, *, only: DataFrame | None = None, existing: DataFrame | None = None) -> DataFrame:
     """address, contact_id, name, name_variants, is_user, first_seen, last_seen, messages_from, messages_to.
 
@@ -51,23 +82,8 @@ def address_book(mails: DataFrame, me: DataFrame, *, only: DataFrame | None = No
     the rows, as after an import, with the same figures as a full build; ``existing`` (address, contact_id) keeps its
     contacts, other addresses get one of their own.
     """
-    own = me.select(normalised("address").alias("address")).distinct()
-    rows = mails.withColumn("sender_address", normalised("sender_address"))
-    sent = rows.filter("sender_address is not null and sender_address <> ''").select(F.col("sender_address").alias("address"), "sender_name", "date")
-    mine = rows.join(own.withColumnRenamed("address", "sender_address"), "sender_address", "left_semi")
-    got = participants(mine, "id", "date").select("id", "date", normalised("recipient_address").alias("address")).filter("address <> ''").dropDuplicates(["id", "address"])
-    if only is not None:
-        sent, got = (t.join(only.select("address").distinct(), "address", "left_semi") for t in (sent, got))
-    names = sent.filter("sender_name is not null and sender_name <> ''").groupBy("address", "sender_name").agg(F.count(F.lit(1)).alias("n"))
-    named = names.groupBy("address").agg(F.min_by("sender_name", F.struct(-F.col("n"), F.col("sender_name"))).alias("name"), F.array_sort(F.collect_set("sender_name")).alias("name_variants"))
-    stats = lambda t, n: t.groupBy("address").agg(F.count(F.lit(1)).alias(n), F.min("date").alias(f"{n}_first"), F.max("date").alias(f"{n}_last"))
-    both = stats(sent, "messages_from").join(stats(got, "messages_to"), "address", "full_outer").join(named, "address", "left")
-    marked = both.join(own.withColumn("u", F.lit(True)), "address", "left")
-    out = marked.select(
-        "address", "name", F.coalesce("name_variants", F.array().cast("array<string>")).alias("name_variants"), F.col("u").isNotNull().alias("is_user"),
-        F.least("messages_from_first", "messages_to_first").alias("first_seen"), F.greatest("messages_from_last", "messages_to_last").alias("last_seen"),
-        F.coalesce("messages_from", F.lit(0)).alias("messages_from"), F.coalesce("messages_to", F.lit(0)).alias("messages_to"),
-    )
+    stats = address_statistics(mails, me, only=only)
+    out = book_of_statistics(stats, me)
     own_id = F.concat(F.lit("ct_"), F.substring(F.sha2("address", 256), 1, 16))
     if existing is None:
         return out.withColumn("contact_id", own_id)

@@ -15,10 +15,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.operators.contacts import address_statistics, book_of_statistics
 from lettermill.operators.predicates import in_range
 from lettermill.operators.timeline import bucket
 from lettermill.sources import versions
-from lettermill.streaming.jobs import address_statistics, book_of_statistics
 
 KINDS = ("days", "met", "book", "threads", "contents")
 #: The sketch has 2 ** LG registers; its standard error is 1.04 / sqrt(2 ** LG), 1.6 percent.

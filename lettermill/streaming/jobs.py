@@ -12,7 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from lettermill.operators.contacts import normalised
+from lettermill.operators.contacts import address_statistics, book_of_statistics  # noqa: F401 (a stream takes them as they are)
 from lettermill.operators.events import MERGE_DAYS
 
 
@@ -52,33 +52,6 @@ def store_new(path: str) -> Callable[[DataFrame, int], None]:
     return job
 
 
-def address_statistics(rows: DataFrame, me: DataFrame) -> DataFrame:
-    """Running figures of each (address, name): messages_from, messages_to, first_seen, last_seen.
-
-    A message counts once for its sender and, where the sender is in ``me`` (address, a static table), once for each address it goes
-    to. Counts, minima and maxima merge, so the last state of each key equals a full build; ``book_of_statistics`` makes the book.
-    """
-    own = me.select(normalised("address").alias("sender_address")).distinct().withColumn("mine", F.lit(True))
-    none = F.array().cast("array<string>")
-    arms = F.concat(*(F.coalesce(F.col(f"recipients.{a}"), none) for a in ("to", "cc", "bcc")))
-    tagged = rows.withColumn("sender_address", normalised("sender_address")).join(own, "sender_address", "left")
-    side = lambda address, name, sent: F.struct(address.alias("address"), name.alias("name"), F.lit(sent).alias("sent"))
-    sender = F.array(side(F.col("sender_address"), F.nullif("sender_name", F.lit("")), True))
-    got = F.transform(F.array_distinct(F.transform(arms, normalised)), lambda a: side(a, F.lit(None).cast("string"), False))
-    met = tagged.select("date", F.explode(F.concat(sender, F.when(F.col("mine"), got).otherwise(F.slice(sender, 1, 0)))).alias("m")).select("date", "m.*")
-    return met.filter("address <> ''").groupBy("address", "name").agg(F.count_if("sent").alias("messages_from"), F.count_if(~F.col("sent")).alias("messages_to"), F.min("date").alias("first_seen"), F.max("date").alias("last_seen"))
-
-
-def book_of_statistics(state: DataFrame, me: DataFrame) -> DataFrame:
-    """The address book of the stream's last state: address, name, name_variants, is_user, first_seen, last_seen, messages_from, messages_to."""
-    own = me.select(normalised("address").alias("address")).distinct().withColumn("u", F.lit(True))
-    book = state.groupBy("address").agg(
-        F.min_by("name", F.when(F.col("name").isNotNull(), F.struct(-F.col("messages_from"), F.col("name")))).alias("name"), F.array_sort(F.collect_set("name")).alias("name_variants"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("messages_from").alias("messages_from"), F.sum("messages_to").alias("messages_to"),
-    )
-    return book.join(own, "address", "left").withColumn("is_user", F.col("u").isNotNull()).drop("u")
-
-
 def least_late_rows(query: StreamingQuery) -> int:
     """A lower bound of the rows that the watermark has kept out of the query's state, from the progress reports that it still holds.
 

@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lettermill.operators.contacts import address_statistics
 from lettermill.sources.versions import drop_folder, folder_names, get_notes, put_note
-from lettermill.streaming.jobs import address_statistics
 
 Job = Callable[[DataFrame, int], None]
 STATISTICS = "address string, name string, messages_from long, messages_to long, first_seen timestamp, last_seen timestamp"
