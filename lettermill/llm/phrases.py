@@ -4,8 +4,8 @@ Phrases are short, so the suffix tree of a corpus is wanted only down to ``max_w
 
 1. Frequent words: each task counts the words of a block of text and hands over a 64-bit key and a count each; Spark sums the
    blocks, and the frequent words make a Bloom filter.
-2. Frequent pairs: the same for pairs whose words pass that filter; they make a second filter. Filters have a bounded size and only save work: what they let pass is counted exactly below, and what is
-   frequent always passes.
+2. Frequent pairs: the same for pairs whose words pass that filter; they make a second filter. Filters have a bounded size and only
+   save work: what they let pass is counted exactly below, and what is frequent always passes.
 3. Suffixes: the text from each word on, cut after ``max_words`` words, at the end of its piece or before a pair that is not
    frequent. A block hands over each distinct suffix with its count, as word hashes.
 4. Vertical partitioning: suffixes are dealt by their first word. A prefix with more suffixes than a share of the memory budget is
