@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.operators.components import connected_components
+from lettermill.operators.predicates import content_family, holds
+from lettermill.staging import staged
 
 HUNKS = 200
 #: Amounts in a line (fixed value).
@@ -41,6 +44,36 @@ def listing(lines: DataFrame, mails: DataFrame, *, one_a_hash: bool = False, occ
     return near.filter("r = 1").drop("r").join(counts, "sha256").join(held, "sha256")
 
 
+def page(bridge: DataFrame, attachments: DataFrame, contents: DataFrame, mails: DataFrame, *, scope: Column | None = None, filename: str | None = None, family: str | None = None, status: str | None = None, after: tuple[Any, int, str] | None = None, limit: int = 50) -> DataFrame:
+    """The newest files in scope: key, email_id, sha256, filename, content_type, date, status, duplicates, family_count.
+
+    ``scope`` filters by the message, ``filename`` by a part of the name, ``family`` by ``content_family``, ``status`` by the extraction
+    (pending where there is none). ``after`` is the (date, email_id, sha256) of the page before; undated files come last. A page has
+    ``limit`` rows, so its counts, over all files whatever the scope, come from joins with so many keys: messages that carry the same
+    content, and the files of the same family, the file itself included.
+    """
+    held = bridge.join(mails.withColumnRenamed("id", "email_id"), "email_id").withColumn("key", F.concat_ws(":", "email_id", "sha256"))
+    rows = held if scope is None else held.filter(scope)
+    rows = rows.join(attachments.select("sha256", "content_type"), "sha256", "left").join(contents.select("sha256", "status"), "sha256", "left").withColumn("status", F.coalesce("status", F.lit("pending")))
+    if filename is not None:
+        rows = rows.filter(holds(F.col("filename"), filename))
+    if family is not None:
+        rows = rows.filter(content_family(F.col("content_type")) == family)
+    if status is not None:
+        rows = rows.filter(F.col("status") == status)
+    if after is not None:
+        date, email_id, sha256 = after
+        at = F.lit(date).cast("timestamp")
+        behind = (F.col("email_id") < email_id) | ((F.col("email_id") == email_id) & (F.col("sha256") > sha256))
+        rows = rows.filter(F.col("date").isNull() & behind if date is None else (F.col("date") < at) | ((F.col("date") == at) & behind) | F.col("date").isNull())
+    order = (F.col("date").desc_nulls_last(), F.desc("email_id"), F.col("sha256"))
+    kept = ("key", "email_id", "sha256", "filename", "content_type", "date", "status")
+    found = staged(rows.select(*kept).orderBy(*order).limit(limit), "page")
+    copies = bridge.join(F.broadcast(found.select("sha256").distinct()), "sha256").groupBy("sha256").agg(F.countDistinct("email_id").alias("duplicates"))  # limit rows
+    kin = families(held.select("key", "sha256", "filename", "sender_address", "thread_id"), found).groupBy(F.col("a").alias("key")).agg(F.count(F.lit(1)).alias("family_count"))
+    return found.join(copies, "sha256").join(kin, "key").select(*kept, "duplicates", "family_count").orderBy(*order)
+
+
 def newest_parent(lines: DataFrame, mails: DataFrame) -> DataFrame:
     """One row a content with the file name of its attachment and the newest message that carries it."""
     rows = lines.join(mails.select(F.col("id").alias("email_id"), "date", "sender_address", "thread_id"), "email_id")

@@ -168,6 +168,24 @@ def _family_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("email_id", F.concat_ws(":", "email_id", "sha256").alias("key"), "sha256", "filename", "sender_address", "thread_id")
 
 
+@query(
+    FAMILY
+    + ", rows AS (SELECT f.*, e.date, a.content_type, coalesce(c.status, 'pending') AS status FROM f JOIN emails e ON e.id = f.id JOIN attachments a ON a.sha256 = f.sha256 LEFT JOIN contents c ON c.sha256 = f.sha256 WHERE e.date >= '1995-01-01' AND e.sender_address LIKE '%@d1.example' AND a.content_type IN ('text/csv', 'application/vnd.ms-excel'))"
+    ", ordered AS (SELECT *, row_number() OVER (ORDER BY date DESC NULLS LAST, id DESC, sha256) AS r FROM rows)"
+    " SELECT key, status, strftime(date, '%Y-%m-%d %H:%M:%S') AS date, (SELECT count(*) FROM bridge b WHERE b.sha256 = o.sha256) AS duplicates, (SELECT count(*) FROM f x WHERE x.stem = o.stem AND (x.sender_address = o.sender_address OR x.thread_id = o.thread_id)) AS family_count FROM ordered o WHERE r <= 60"
+)
+def file_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Two pages of the spreadsheets of a domain's senders, the second after the last row of the first."""
+    lines, mails = archive.attachment_lines(spark, d), archive.emails(spark, d).select("id", "date", "sender_address", "sender_domain", "thread_id")
+    atts = archive.attachments(lines)
+    given = (archive.bridge(lines), atts, archive.contents(atts), mails)
+    how = {"scope": (F.col("date") >= "1995-01-01") & (F.col("sender_domain") == "d1.example"), "family": "spreadsheet"}
+    one = staged(files.page(*given, **how, limit=30), "first")
+    last = one.orderBy(F.asc_nulls_first("date"), "email_id", F.desc("sha256")).first()
+    two = files.page(*given, **how, limit=30, after=(last["date"], last["email_id"], last["sha256"])) if last else one
+    return one.unionAll(two).distinct().select("key", "status", ts("date").alias("date"), "duplicates", "family_count")
+
+
 @query()
 def file_families(spark: SparkSession, d: str) -> DataFrame:
     return files.family_members(_family_files(spark, d)).select("key", "family")
