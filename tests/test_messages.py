@@ -5,6 +5,7 @@ from datetime import datetime
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,35 @@ def test_co_participation_of_wide_threads(spark):
     assert {(r["a"], r["b"]): r["shared_threads"] for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_co_participation_in_blocks(spark, least):
+    """Sixty senders in many blocks, in each task's bites of a few pairs: as counted pair by pair; what moves does not hold the pairs."""
+    rows = [(f"t{t}", f"u{i * i % 61 + t}") for t in range(7) for i in range(40 + t)] + [("t0", "é"), ("t1", "é"), ("t1", "\U0001f600"), ("t0", "\U0001f600")]
+    groups: dict = {}
+    for t, u in rows:
+        groups.setdefault(t, set()).add(u)
+    want = Counter(p for g in groups.values() for p in combinations(sorted(g), 2))
+    out = threads.co_participation(spark.createDataFrame(rows, "thread_id string, sender_address string"), least=least, block_pairs=200)
+    assert Counter({(r["a"], r["b"]): r["shared_threads"] for r in out.collect()}) == Counter({p: n for p, n in want.items() if n >= least})
+    one = pa.table({"lo": [0] * len(groups), "hi": [0] * len(groups), "k": [0] * len(groups), "thread_id": list(groups), "senders": [list(g) for g in groups.values()]})
+    got = pa.Table.from_batches(threads.shared_counts(one, least, 5), threads._PAIRS).to_pylist()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) and {(r["a"], r["b"]): r["shared_threads"] for r in got} == {p: n for p, n in want.items() if n >= least}
+
+
+def test_merge_candidates_make_no_exchange_of_pairs(spark):
+    """Contacts of several common names in blocks of three: each pair once, at its least common name, and no pair is dealt again."""
+    book = "address string, contact_id string, name string, name_variants array<string>, is_user boolean, first_seen timestamp, last_seen timestamp, messages_from long, messages_to long"
+    rows = [(f"a{i:02d}", f"c{i:02d}", None, [f"N {i % 6}", f"n{i % 6}", f"M {i % 4}", "-"][: i % 5], False, None, None, i % 5 + 1, 1) for i in range(40)]
+    keys = {r[1]: {"".join(c for c in n if c.isalnum()).lower() for n in r[3]} - {""} for r in rows}
+    size = {r[1]: r[7] + r[8] for r in rows}
+    want = {(a, b, min(keys[a] & keys[b]), size[a] + size[b], "a" + a[1:], "a" + b[1:]) for a, b in combinations(sorted(keys), 2) if keys[a] & keys[b]}
+    out = contacts.merge_candidates(spark.createDataFrame(rows, book), block=3)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_contacts_seed(spark):
     rows = [mail(f"n{i}", "noreply@shop.com", ["me@example.com"], "2025-01-01", name="Shop Team") for i in range(25)]
     rows += [mail("j1", "jane@p.com", ["me@example.com"], "2025-01-02", "tj", name="Jane Smith"), mail("j2", "me@example.com", ["jane@p.com"], "2025-01-03", "tj", cc=["jane@p.com"])]
