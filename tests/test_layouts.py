@@ -48,6 +48,14 @@ def test_a_page_reads_few_parts(spark, laid, capsys):
     assert pages._touched([], None, None, False, False, 5) == []
 
 
+def test_a_page_lists_its_own_parts_only(spark, laid):
+    """The driver hears of the parts that a page can touch, not of all; ranges of many parts keep every part within its bound."""
+    path, _ = laid
+    assert len(pages.page(spark, path, after=(datetime(2024, 1, 12), 250), limit=30).inputFiles()) <= 3
+    held = spark.read.parquet(f"{path}/bounds")
+    assert max(r["n"] for r in held.collect()) <= 40 and len(pages._ahead(held, None, 3, False)) == 5 < held.count()
+
+
 def test_stored_search_equals_the_scan(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, datetime(2024, 1, 1) + timedelta(days=i % 40), None if i % 31 == 0 else [0.0] * 16 if i % 37 == 0 else rng.normal(size=16).astype(np.float32).tolist()) for i in range(900)]
