@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,26 +139,34 @@ def changed_lines(pairs: DataFrame) -> DataFrame:
     return pairs.select("key", F.array_except(lines("new"), lines("old")).alias("added"), F.array_except(lines("old"), lines("new")).alias("removed"))
 
 
+#: Pairs of texts whose differences a task holds.
+PAIRS = 32
 DIFF = "array<struct<a_start:int,b_start:int,lines:array<struct<kind:string,text:string>>>>"
+_DIFF = pa.list_(pa.struct([("a_start", pa.int32()), ("b_start", pa.int32()), ("lines", pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())])))]))
+
+
+def _hunks(old: str, new: str, context: int) -> tuple[list[dict], bool]:
+    x, y = old.splitlines(), new.splitlines()
+    groups = list(difflib.SequenceMatcher(None, x, y, autojunk=False).get_grouped_opcodes(context))
+    hunks = [
+        {"a_start": g[0][1], "b_start": g[0][3], "lines": [{"kind": k, "text": t} for tag, i, j, m, n in g for k, t in ([("same", t) for t in x[i:j]] if tag == "equal" else [("del", t) for t in x[i:j]] + [("add", t) for t in y[m:n]])]}
+        for g in groups[:HUNKS]
+    ]
+    return hunks, len(groups) > HUNKS
 
 
 def line_diff(pairs: DataFrame, context: int = 2) -> DataFrame:
-    """key, hunks, truncated: the line difference of two texts (old, new), 200 hunks at most."""
-
-    @F.pandas_udf(f"hunks {DIFF}, truncated boolean")
-    def compare(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(old.fillna(""), new.fillna("")):
-            x, y = a.splitlines(), b.splitlines()
-            groups = list(difflib.SequenceMatcher(None, x, y, autojunk=False).get_grouped_opcodes(context))
-            hunks = [
-                {"a_start": g[0][1], "b_start": g[0][3], "lines": [{"kind": k, "text": t} for tag, i, j, m, n in g for k, t in ([("same", t) for t in x[i:j]] if tag == "equal" else [("del", t) for t in x[i:j]] + [("add", t) for t in y[m:n]])]}
-                for g in groups[:HUNKS]
-            ]
-            out.append({"hunks": hunks, "truncated": len(groups) > HUNKS})
-        return pd.DataFrame(out, columns=["hunks", "truncated"])
-
-    return pairs.select("key", compare("old", "new").alias("d")).select("key", "d.hunks", "d.truncated")
+    """key, hunks, truncated: the line difference of two texts (old, new), 200 hunks at most. A task holds ``PAIRS`` of them at a time."""
+    key = pairs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), PAIRS):
+                part = batch.slice(i, PAIRS)
+                made = [_hunks(a.as_py() or "", b.as_py() or "", context) for a, b in zip(part.column(1), part.column(2))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h for h, _ in made], _DIFF), pa.array([t for _, t in made], pa.bool_())], names=["key", "hunks", "truncated"])
+
+    return pairs.select("key", "old", "new").mapInArrow(run, f"key {key}, hunks {DIFF}, truncated boolean")
 
 
 def amount_changes(diffs: DataFrame) -> DataFrame:

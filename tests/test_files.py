@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from lettermill.operators import files
+from lettermill.operators import files, redaction
 
 
 def test_pages_of_files(spark):
@@ -36,3 +37,21 @@ def test_pages_of_files(spark):
             got += [(r["email_id"], r["sha256"], r["status"], r["duplicates"], r["family_count"]) for r in part]
             cursor = (part[-1]["date"], part[-1]["email_id"], part[-1]["sha256"])
         assert got == want
+
+
+def test_few_texts_at_a_time(spark, monkeypatch):
+    """Differences and cleaned pages leave a task in small pieces, as many rows as came."""
+    monkeypatch.setattr(files, "PAIRS", 7)
+    monkeypatch.setattr(redaction, "PAGES", 7)
+    seen = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, ddl: seen.append(f) or self)
+    rows = spark.range(1).selectExpr("id AS key", "'a' AS old", "'b' AS new", "'<p>x</p>' AS html")
+    files.line_diff(rows)
+    redaction.cleaned(rows.select("key", "html"))
+    batch = pa.RecordBatch.from_pydict({"key": list(range(40)), "old": ["a\nb", None] * 20, "new": ["a\nc", "d"] * 20})
+    diffs = list(seen[0](iter([batch])))
+    pages = list(seen[1](iter([pa.RecordBatch.from_pydict({"key": list(range(40)), "html": ["<p>x</p>", None] * 20})])))
+    for out in (diffs, pages):
+        assert max(len(b) for b in out) == 7 and [k for b in out for k in b.column(0).to_pylist()] == list(range(40))
+    assert diffs[0].to_pylist()[0]["hunks"][0]["lines"][1:] == [{"kind": "del", "text": "b"}, {"kind": "add", "text": "c"}]
+    assert pages[0].to_pylist()[:2] == [{"key": 0, "html": "<p>x</p>", "clean": "<p>x</p>", "plain": "x"}, {"key": 1, "html": None, "clean": "", "plain": ""}]
