@@ -144,13 +144,28 @@ def sparse_passages(words: np.ndarray, idf: np.ndarray, stride: int) -> list[tup
     return out
 
 
+def orthonormal(a: np.ndarray, rows: int = 4096) -> np.ndarray:
+    """The orthonormal factor of a QR of ``a``, from those of blocks of rows: only a block is held in double precision, and as float32 the rest."""
+    starts = range(0, len(a), max(rows, a.shape[1]))
+    parts = [np.linalg.qr(a[i : i + starts.step]) for i in starts]
+    turn = np.linalg.qr(np.concatenate([r for _, r in parts]).astype(np.float64))[0]
+    out, at = np.empty((len(a), turn.shape[1]), np.float32), 0
+    for i, (q, _) in zip(starts, parts):
+        out[i : i + starts.step] = q @ turn[at : at + q.shape[1]]
+        at += q.shape[1]
+    return out
+
+
 def randomised_svd(rows: DataFrame, idf: np.ndarray, stride: int, rank: int, *, extra: int = 8, rounds: int = 1, seed: int = 5) -> np.ndarray:
     """An orthonormal basis (buckets x rank) of the leading right singular vectors of the passages of ``rows`` (struct weight, words).
 
     Each round multiplies by A'A: tasks add up their passages' share, Spark the tasks'; the driver orthonormalises a matrix of
     fixed size.
     """
-    basis = np.linalg.qr(np.random.default_rng(seed).normal(size=(len(idf), rank + extra)).astype(np.float32))[0]
+    rng, basis = np.random.default_rng(seed), np.empty((len(idf), rank + extra), np.float32)
+    for i in range(0, len(basis), 4096):  # the driver's memory is short
+        basis[i : i + 4096] = rng.normal(size=basis[i : i + 4096].shape)
+    basis = orthonormal(basis)
     for _ in range(rounds + 1):
 
         def add(total: np.ndarray, values: list, basis: np.ndarray = basis) -> None:
@@ -161,7 +176,7 @@ def randomised_svd(rows: DataFrame, idf: np.ndarray, stride: int, rank: int, *,
         product, n = summed(rows, add, basis.shape, np.float32)
         if not n:
             return basis[:, :rank]
-        last, basis = basis, np.linalg.qr(product)[0]
+        last, basis = basis, orthonormal(product)
     values, turn = np.linalg.eigh((last.T @ product).astype(float))
     order = np.argsort(-values)[:rank]
     return np.ascontiguousarray((last @ turn)[:, order].astype(np.float32))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lettermill.llm import queries
+from lettermill.llm import decontamination, queries
 from lettermill.staging import staged
 
 
@@ -56,3 +58,15 @@ def test_stages_take_effect(spark, sf_dir, stages):
 
 def test_run_equals_stages(spark, sf_dir, stages):
     assert {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == {r["doc_id"]: r["n_tokens"] for r in stages["bpe_encode"].collect()}
+
+
+def test_orthonormal_in_little_memory():
+    """The same span as a QR of the whole, in less than the double-precision copy that it takes."""
+    a = np.random.default_rng(1).normal(size=(32768, 136)).astype(np.float32) * np.logspace(0, -3, 136).astype(np.float32)
+    tracemalloc.start()
+    q = decontamination.orthonormal(a)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.linalg.qr(a)[0]
+    assert q.dtype == np.float32 and np.abs(q.T @ q - np.eye(136)).max() < 1e-5 and np.abs(q @ (q.T @ whole) - whole).max() < 1e-4
+    assert peak < 2.8 * a.nbytes
