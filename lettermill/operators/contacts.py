@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lettermill.operators.messages import participants
+from lettermill.staging import staged
 
 #: Base, weights and patterns of the human-probability score (fixed values).
 BASE = 0.50
@@ -285,7 +286,9 @@ def resolve_substrings(names: DataFrame, cards: DataFrame) -> DataFrame:
         parts = texts.select("contact_id", "primary_address", "known", F.explode(pieces(F.col("known"), n)).alias("piece"))
         often = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("often"))
         rarest = wanted.select("name", "low", F.explode(pieces(F.col("low"), n)).alias("piece")).join(often, "piece", "left").groupBy("name", "low").agg(F.min_by("piece", F.struct(F.coalesce("often", F.lit(0)), "piece")).alias("piece"))
-        hits = rarest.join(parts, "piece").filter(F.contains("known", "low")).select("name", "contact_id", "primary_address").distinct()
+        rarest = staged(rarest, "rarest")
+        asked_for = staged(rarest.select("piece").distinct(), "pieces")  # few: its size is known when the join is planned, so pieces that all contacts have are not dealt
+        hits = rarest.join(parts.join(asked_for, "piece", "left_semi"), "piece").filter(F.contains("known", "low")).select("name", "contact_id", "primary_address").distinct()
         found = hits if found is None else found.unionByName(hits)
     alone = found.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.min("primary_address").alias("address")).filter("n = 1")
     return exact.unionByName(alone.select("name", "address"))

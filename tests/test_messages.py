@@ -137,6 +137,17 @@ def test_merge_candidates_make_no_exchange_of_pairs(spark):
     assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_resolve_substrings_deals_asked_pieces_only(spark):
+    """Names against all contacts, and pieces that no name is looked up by are left out before the join."""
+    known = {f"c{i}": f"Customer#{i:04d}" for i in range(60)}
+    cards = spark.createDataFrame([(c, f"{c}@x", [f"{c}@x"], n, [n]) for c, n in known.items()], "contact_id string, primary_address string, addresses array<string>, display_name string, name_variants array<string>")
+    names = ["customer#0007", "R#001", "59", "9", "#0", "Z", "omer#0030", "A@B.c", "nobody"]
+    want = {(n, hits[0]) for n in names if "@" not in n and len(hits := [f"{c}@x" for c, k in known.items() if n.lower() in k.lower() or n.lower() in f"{c}@x"]) == 1} | {("A@B.c", "a@b.c")}
+    out = contacts.resolve_substrings(spark.createDataFrame([(n,) for n in names], "name string"), cards)
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 2
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_contacts_seed(spark):
     rows = [mail(f"n{i}", "noreply@shop.com", ["me@example.com"], "2025-01-01", name="Shop Team") for i in range(25)]
     rows += [mail("j1", "jane@p.com", ["me@example.com"], "2025-01-02", "tj", name="Jane Smith"), mail("j2", "me@example.com", ["jane@p.com"], "2025-01-03", "tj", cc=["jane@p.com"])]
