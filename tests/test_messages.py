@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lettermill import catalog
 from lettermill.functions.text import clean_body, scrubbed, scrubbed_map
-from lettermill.operators import contacts, messages, retrieval, spec, threads, timeline
+from lettermill.operators import components, contacts, messages, retrieval, spec, threads, timeline
 from lettermill.operators.predicates import keyset_after, message_filter
 from lettermill.plans import contact_queries
 
@@ -99,6 +99,19 @@ def test_thread_repair(spark, rows, expected):
     assert threads.repaired_threads(threads.apply_repair(m, changes)).count() == 0
 
 
+def test_thread_repair_of_long_threads(spark, monkeypatch):
+    """A thread of 900 answers and one around an id that the archive lacks; the rounds write a few numbers a message."""
+    names = [f"m{i * 577 % 901}" for i in range(901)]
+    rows = [mail(n, "s@x.c", [], f"{2000 + i // 300}-01-{i % 28 + 1:02d}", n, reply=names[i - 1] if i else None, refs=names[i - 1 : i]) for i, n in enumerate(names[:900])]
+    rows += [mail(f"x{i}", "s@x.c", [], None, "gone", reply="gone") for i in range(60)]
+    written, real = [], components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name="table": written.append(real(df, name)) or written[-1])
+    got = {r["id"]: r["new_thread_id"] for r in threads.repaired_threads(frame(spark, rows)).collect()}
+    first = min((f"{2000 + i // 300}-01-{i % 28 + 1:02d}", n) for i, n in enumerate(names[:900]))[1]
+    assert got == {n: first for n in names[:900] if n != first} | {f"x{i}": "x0" for i in range(60)}
+    assert sum(t.count() for t in written) < 10 * len(rows)
+
+
 def test_co_participation_of_wide_threads(spark):
     """Threads of 3, 260 and 450 senders, some twice: every pair counts once a thread."""
     who = {"s": range(3), "w": range(260), "v": range(100, 550)}

@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lettermill.operators import cards, embedding, files, threads, topics
+from lettermill.operators import cards, components, embedding, files, threads, topics
 from lettermill.operators.components import connected_components
 from lettermill.streaming import jobs
 
@@ -54,6 +55,30 @@ def test_components_chain_and_hub(spark):
     assert connected_components(edges.limit(0), "a", "b").count() == 0
 
 
+def test_components_shrink_by_round(spark, monkeypatch):
+    """Long paths, a star and pairs, as numbers and as names: what all rounds write is a small multiple of the edges, and labels are the least."""
+    rng = random.Random(5)
+    names = rng.sample(range(-(10**6), 10**6), 4000)
+    edges = [*zip(names[:2999], names[1:3000]), *((names[3000], x) for x in names[3001:3800]), *zip(names[3800::2], names[3801::2])]
+    parts = [names[:3000], names[3000:3800], *(names[i : i + 2] for i in range(3800, 4000, 2))]
+    written = []
+    real = components.staged
+    monkeypatch.setattr(components, "staged", lambda df, name="table": written.append(real(df, name)) or written[-1])
+    for kind, of in (("int", int), ("string", str)):
+        written.clear()
+        rows = [(of(a), of(b)) if rng.random() < 0.5 else (of(b), of(a)) for a, b in edges]
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*rows, *rows[:50], (of(7), of(7))], f"a {kind}, b {kind}"), "a", "b").collect()}
+        want = {of(x): min(map(of, p)) for p in parts for x in p}
+        assert got == {of(7): of(7), **want}
+        assert sum(t.count() for t in written) < 10 * len(edges)
+
+
+def test_components_that_do_not_settle(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, "a", "b", max_rounds=1)
+
+
 def test_tree_and_families(spark):
     nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "gone")], "id string, parent_id string")
     assert {r["id"]: (r["path"], r["depth"]) for r in threads.tree_paths(nodes).collect()} == {"a": ("a", 0), "b": ("a > b", 1), "c": ("a > b > c", 2), "d": ("d", 0)}
