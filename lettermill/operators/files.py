@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lettermill.operators.components import connected_components
+from lettermill.operators.components import merged_nodes, shared_key_edges
 from lettermill.operators.predicates import content_family, holds
 from lettermill.staging import staged
 
@@ -110,12 +110,14 @@ def families(files: DataFrame, asked: DataFrame | None = None) -> DataFrame:
 def family_members(files: DataFrame) -> DataFrame:
     """key, family: every file with the smallest key of its family. A family is what hangs together by the same stem and the same
     sender or thread, so the rows grow with the files, not with the pairs. An empty stem has no family but itself."""
-    rows = files.select("key", "sender_address", "thread_id", filename_stem("filename").alias("stem"))
-    by = lambda kind, c: rows.filter((F.col("stem") != "") & F.col(c).isNotNull()).select("key", F.lit(kind).alias("kind"), "stem", F.col(c).alias("v"))
+    rows = files.filter("key is not null").select("key", "sender_address", "thread_id", filename_stem("filename").alias("stem"))
+    rows = staged(rows.withColumn("n", F.monotonically_increasing_id()), "files")
+    by = lambda kind, c: rows.filter((F.col("stem") != "") & F.col(c).isNotNull()).select("n", F.lit(kind).alias("kind"), "stem", F.col(c).alias("v"))
     ties = by("s", "sender_address").unionByName(by("t", "thread_id"))
-    heads = ties.groupBy("kind", "stem", "v").agg(F.min("key").alias("head"))
-    edges = ties.join(heads, ["kind", "stem", "v"]).select("key", "head").unionByName(rows.select("key", F.col("key").alias("head")))
-    return connected_components(edges, "key", "head").select(F.col("node").alias("key"), F.col("component").alias("family"))
+    edges = shared_key_edges(ties, "kind", "stem", "v").unionAll(shared_key_edges(rows.select("n", "key"), "key"))
+    placed = rows.select("n", "key").join(merged_nodes(staged(edges, "edges")), "n", "left").select("key", F.coalesce("label", "n").alias("label"))
+    placed = staged(placed, "placed")
+    return placed.join(placed.groupBy("label").agg(F.min("key").alias("family")), "label").select("key", "family").distinct()
 
 
 def versions(texts: DataFrame, group: str, block_ids: int = 1 << 16) -> DataFrame:

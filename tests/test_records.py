@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lettermill.functions import text
 from lettermill.operators import events, files, messages
@@ -21,6 +22,9 @@ def test_families_by_brute_force(spark):
     df = spark.createDataFrame([r for r in rows if stems[r[0]]], "key string, sha256 string, filename string, sender_address string, thread_id string")
     got = {r["key"]: r["family"] for r in files.family_members(df).collect()}
     assert got == {k: v for k, v in root.items() if stems[k]}
+    moved = df.filter("key in ('k000', 'k001', 'k002')").withColumn("filename", F.lit("only_once.pdf"))
+    again = files.family_members(df.unionAll(moved).unionAll(df.limit(5)))  # files that come several times are one
+    assert {r["key"]: r["family"] for r in again.collect()} == got and again.count() == len(got)
 
 
 def test_embedding_texts_are_cut(spark):
