@@ -13,7 +13,7 @@ from lettermill.operators import keywords, messages, pages, spec, timeline
 from lettermill.operators.predicates import content_family, keyset_after, mentions, message_filter, of_account, order_by, scope_filter
 from lettermill.plans.registry import ORACLES, TS, joined, query, ts
 from lettermill.sources import archive
-from lettermill.staging import fresh_path
+from lettermill.staging import fresh_path, staged
 
 RANGE = ("1995-01-01", "1999-01-01")
 
@@ -126,7 +126,7 @@ TERMS = ("URGENT", "river", "ity of", "qz", "j", "No such words here")
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     """``mention_search`` for several terms, short ones too, over an index of the bodies and subjects."""
     path = fresh_path(spark, "keywords")
-    mails, docs = _mails(spark, d), archive.read(spark, d, "documents")
+    mails, docs = staged(_mails(spark, d).select("id", "subject"), "mails"), archive.read(spark, d, "documents")
     subjects = mails.select(F.lit("subject").alias("field"), "id", F.col("subject").alias("text"))
     keywords.index_texts(docs.select(F.lit("body").alias("field"), F.col("doc_id").alias("id"), "text").unionAll(subjects), path, block_rows=1024, buckets=16)
     of_body = mails.select("id", (F.col("id") % docs.count()).alias("b_id"))

@@ -59,3 +59,21 @@ def test_rarest_trigram_is_read(spark, index):
     found = {(r["field"], r["id"]) for r in keywords.candidates(spark, path, "abc needle", buckets=5).collect()}
     assert found == {("body", 300)} or len(found) < 5
     assert keywords.candidates(spark, path, "abcqqq", buckets=5).count() == 0
+
+
+def test_folders_grow_with_the_logarithm(spark, tmp_path, monkeypatch):
+    """Far ids share folders, equal texts are cut once, and short terms need no text: as a scan finds them."""
+    monkeypatch.setattr(keywords, "FOLDERS", 8)
+    monkeypatch.setattr(keywords, "FILE_BLOCKS", 4)
+    monkeypatch.setattr(keywords, "PIECE", 40)
+    rng = random.Random(8)
+    rows = [("subject", i, rng.choice(["1-URGENT O", "Re: 2-HIGH F", "", "a\0b ends in a"])) for i in [*range(-40, 3000), *(rng.randrange(10**9) for _ in range(40))]]
+    path = str(tmp_path / "index")
+    keywords.index_texts(spark.createDataFrame(rows, "field string, id long, text string"), path, block_rows=16, buckets=3)
+    for direct in (1000, 3):
+        monkeypatch.setattr(keywords, "DIRECT", direct)
+        for term in ("urgent", "a", "a\0", "\0", "gh", "f", "t o", "in a", "ab"):
+            assert {tuple(r) for r in keywords.keyword_search(spark, path, term, buckets=3).collect()} == scanned(rows, term), term
+    folders = spark.read.parquet(f"{path}/texts").select("block").distinct().collect()
+    assert 20 < len(folders) < 110  # 188 blocks and 40 far ones
+    assert not any("texts" in f for t in ("a", "gh", "t o") for f in keywords.keyword_search(spark, path, t, buckets=3).inputFiles())
