@@ -12,8 +12,10 @@ depends on the window's words alone, so equal windows meet under one anchor howe
    inside factors of ``width`` words and more are duplicates. A window that no factor holds whole has a factor boundary inside, and
    the factor after the first boundary reaches its end, so only windows around boundaries between factors that are long enough
    together are looked up besides: no window is lost.
-3. A block of more than ``block_rows`` classes would grow with the corpus. Its windows are split further, by the print of the
-   whole window: each is a block of its own whose only factor is the window, its owner a partial minimum.
+3. A block of more than ``block_rows`` classes would grow with the corpus. Its classes are cut into a few parts by the place of the
+   anchor in the window. The windows of a part all hold a stretch of words around the anchor, whose print is the part's block: a
+   common line in other surroundings is alone at once. Parts with equal prints are one class again, and blocks that are still too
+   large are cut again, until a part is one window. So a window has one row a level at most, and only where its stretch is that common.
 4. The spans of a document are gathered, and the texts move once more, to lose them.
 """
 
@@ -50,15 +52,20 @@ class Prints:
         return [mixed((s[end] - s[start]) * t[start] + length).view(np.int64) for s, t in zip(self.sums, self.turns)]
 
 
+def _grams(h: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of each stretch of ``gram`` words."""
+    grams = np.zeros(len(h) - gram + 1, np.uint64)
+    for i in range(gram):
+        grams += h[i : i + len(grams)] * np.uint64(pow(PRIME, i + 1, 1 << 64))
+    return mixed(grams)
+
+
 def segments(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first window, windows, anchor) of each run of windows that have one anchor; a text of fewer than ``width`` words has none."""
     n = len(h) - width + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    grams = np.zeros(len(h) - gram + 1, np.uint64)
-    for i in range(gram):
-        grams += h[i : i + len(grams)] * np.uint64(pow(PRIME, i + 1, 1 << 64))
-    grams = mixed(grams)
+    grams = _grams(h, gram)
     span = width - gram + 1
     least, at, held = grams, np.arange(len(grams)), 1
     while held < span:  # the leftmost least of twice as many
@@ -69,6 +76,19 @@ def segments(h: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarr
     return first, np.diff(np.append(first, n)), least[first].view(np.int64)
 
 
+def parts(h: np.ndarray, width: int, gram: int, size: int) -> list[tuple[int, int, int, int, int]]:
+    """(first window, windows, block, print_1, print_2) of a segment's parts: windows whose anchor lies at one of ``size`` places that
+    follow each other. The block is the print of the words that any window of these places holds, and of the places."""
+    at, prints = int(np.argmin(_grams(h[:width], gram))), Prints(h)
+    places = at - np.arange(len(h) - width + 1)
+    first = np.flatnonzero(np.concatenate([[True], np.diff(places // size) != 0]))
+    end = np.append(first[1:], len(places))
+    low = places[first] // size * size
+    high = np.minimum(low + size, width - gram + 1) - 1
+    block = mixed(prints.of(at - low, at - high + width)[0].view(np.uint64) + low.astype(np.uint64) * np.uint64(PRIME)).view(np.int64)
+    return list(zip(*(x.tolist() for x in (first, end - first, block, *prints.of(first, end + width - 1)))))
+
+
 class Reference:
     """An index of word sequences that grows: a suffix automaton, in which any stretch of them is a walk from the root."""
 
@@ -181,28 +201,21 @@ def _segments_of(rows: DataFrame, width: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, _SEGMENT_DDL)
 
 
-_WORDS = pa.schema([*(_SEGMENT.field(c) for c in KEY), ("doc_id", pa.int64()), ("heavy", pa.bool_()), ("words", pa.binary()), ("window_1", pa.list_(pa.int64())), ("window_2", pa.list_(pa.int64()))])
-_WORDS_DDL = "anchor long, print_1 long, print_2 long, doc_id long, heavy boolean, words binary, window_1 array<long>, window_2 array<long>"
+_WORDS = pa.schema([*(_SEGMENT.field(c) for c in KEY), ("doc_id", pa.int64()), ("heavy", pa.bool_()), ("words", pa.binary())])
+_WORDS_DDL = "anchor long, print_1 long, print_2 long, doc_id long, heavy boolean, words binary"
 
 
 def _words_of(texts: DataFrame, width: int) -> DataFrame:
-    """The words of each wanted segment, or the prints of its windows where its block is heavy. ``texts``: doc_id, text, wanted (list of segments)."""
+    """The words of each wanted segment. ``texts``: doc_id, text, wanted (list of segments)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 64):
             for d, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                words, prints = split_words(text.as_py().encode()), None
+                words = split_words(text.as_py().encode())
                 rows: list[list] = [[] for _ in _WORDS]
                 for s in wanted.as_py():
-                    a, n = s["start"], s["windows"]
-                    one = two = said = None
-                    if s["heavy"]:
-                        prints = prints or Prints(hashed(words))
-                        at = np.arange(a, a + n)
-                        one, two = prints.of(at, at + width)
-                    else:
-                        said = b" ".join(words[a : a + n + width - 1])
-                    for column, v in zip(rows, (*(s[c] for c in KEY), d, s["heavy"], said, one, two)):
+                    a = s["start"]
+                    for column, v in zip(rows, (*(s[c] for c in KEY), d, s["heavy"], b" ".join(words[a : a + s["windows"] + width - 1]))):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _WORDS)], schema=_WORDS)
 
@@ -238,14 +251,52 @@ def _parsed(blocks: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(run, _SPAN_DDL)
 
 
-def _split_windows(heavy: DataFrame) -> DataFrame:
-    """Duplicate windows in the classes of heavy blocks: each window is a block, owned by the smallest doc_id that has it."""
-    pairs = heavy.select(*KEY, "doc_id", F.posexplode(F.arrays_zip("window_1", "window_2")).alias("low", "w"))
-    each = staged(pairs.select(*KEY, "doc_id", "low", "w.window_1", "w.window_2"), "windows")
-    held = each.groupBy("window_1", "window_2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held"))
-    shared = staged(held.filter("owner < last").select("window_1", "window_2", "owner", "held"), "shared_windows")
-    found = hot_join(each, shared, ["window_1", "window_2"], "held", max(each.count(), 1)).filter("doc_id > owner")
-    return found.select(*KEY, "doc_id", F.col("low").cast("int").alias("low"), (F.col("low") + 1).cast("int").alias("high"))
+_PART = pa.schema([*(_SEGMENT.field(c) for c in KEY), ("doc_id", pa.int64()), ("low", pa.int32()), ("windows", pa.int32()), *((c, pa.int64()) for c in ("block", "part_1", "part_2")), ("words", pa.binary())])
+_PART_DDL = "anchor long, print_1 long, print_2 long, doc_id long, low int, windows int, block long, part_1 long, part_2 long, words binary"
+_PART_KEY = ["block", "part_1", "part_2"]
+#: Into so many parts, or one more, a class of a heavy block is cut at a time.
+PARTS = 4
+
+
+def _parts_of(heavy: DataFrame, width: int, gram: int, size: int) -> DataFrame:
+    """The parts of classes, or of parts of them, with their words. ``heavy``: the class, doc_id, low (its first window in the class), words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            out = []
+            for *key, d, low, said in zip(*(c.to_pylist() for c in batch.columns)):
+                words = said.split(b" ")
+                for first, n, *block in parts(hashed(words), width, gram, size):
+                    out.append((*key, d, low + first, n, *block, b" ".join(words[first : first + n + width - 1])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(_PART), _PART)], schema=_PART)
+
+    return heavy.select(*KEY, "doc_id", "low", "words").mapInArrow(run, _PART_DDL)
+
+
+def _split_blocks(heavy: DataFrame, width: int, gram: int, block_rows: int) -> list[DataFrame]:
+    """Runs of duplicate windows in the classes of heavy blocks, which are cut into parts until no block of parts is heavy."""
+    size, spans = width - gram + 1, []
+    heavy = heavy.withColumn("low", F.lit(0))
+    while not heavy.isEmpty():
+        size = -(-size // PARTS)
+        cut = staged(_parts_of(heavy, width, gram, size), "parts")
+        total = max(cut.count(), 1)
+        classes = staged(cut.groupBy(*_PART_KEY).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("held")), "part_classes")
+        blocks = classes.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("least"), F.max("first").alias("most"))
+        blocks = staged(blocks.filter("n > 1 and least < most").select("block", "n"), "part_blocks")
+        copied = classes.filter("first < last").select(*_PART_KEY, "first", "held", F.lit(0).cast("long").alias("n"))
+        contested = hot_join(classes, blocks, ["block"], "n", max(classes.count(), 1)).select(*copied.columns)
+        told = staged(copied.unionAll(contested).groupBy(*_PART_KEY, "first", "held").agg(F.max("n").alias("n")), "told_parts")
+        met = hot_join(cut, told, _PART_KEY, "held", total)
+        spans.append(met.filter("doc_id > first").select(*KEY, "doc_id", "low", (F.col("low") + F.col("windows")).alias("high")))
+        own = staged(met.filter("doc_id = first and n > 0").select(*cut.columns, ((F.col("n") > block_rows) & F.lit(size > 1)).alias("heavy")), "own_parts")
+        names = dict(zip(KEY, _PART_KEY))
+        found = _parsed(own.filter("not heavy").select(*(F.col(v).alias(k) for k, v in names.items()), "doc_id", "words"), width)
+        found = found.select(*(F.col(k).alias(v) for k, v in names.items()), "doc_id", F.col("low").alias("a"), F.col("high").alias("b"))
+        placed = own.filter("not heavy").join(found, [*_PART_KEY, "doc_id"])
+        spans.append(placed.select(*KEY, "doc_id", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high")))
+        heavy = own.filter("heavy")
+    return spans
 
 
 def duplicate_spans(docs: DataFrame, *, width: int = 50, gram: int = 8, block_rows: int = 256) -> DataFrame:
@@ -272,7 +323,9 @@ def duplicate_spans(docs: DataFrame, *, width: int = 50, gram: int = 8, block_ro
     wanted = wanted.select("owner.doc_id", "owner.text_hash", F.struct(*KEY, "owner.start", "owner.windows", (F.col("n") > block_rows).alias("heavy")).alias("s"))
     lists = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list("s").alias("wanted"))  # a document's own segments
     said = staged(_words_of(rows.join(lists, ["doc_id", "text_hash"]).select("doc_id", "text", "wanted"), width), "words")
-    spans = _parsed(said.filter("not heavy"), width).unionAll(_split_windows(said.filter("heavy")))
+    spans = _parsed(said.filter("not heavy"), width)
+    for split in _split_blocks(said.filter("heavy"), width, gram, block_rows):
+        spans = spans.unionAll(split)
     spans = spans.withColumnRenamed("doc_id", "owner_id").withColumnRenamed("low", "a").withColumnRenamed("high", "b")
     same = [F.col(f"k.{c}") == F.col(f"s.{c}") for c in KEY]
     placed = cut.alias("k").join(spans.alias("s"), [*same, F.col("k.doc_id") == F.col("s.owner_id")])

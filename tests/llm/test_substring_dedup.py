@@ -112,6 +112,53 @@ def test_passages_copies_and_odd_rows(spark, block_rows):
     assert {r["n_removed"] for r in out if r["doc_id"] is None} == {0}
 
 
+@pytest.mark.parametrize("width, gram, size", [(50, 8, 11), (50, 8, 3), (50, 8, 1), (5, 2, 1), (6, 6, 1), (7, 1, 2)])
+def test_equal_windows_have_equal_blocks_of_parts(width, gram, size):
+    """Parts hold each window of a segment once, and an equal window of another segment has the same block."""
+    rng, blocks = random.Random(size), {}
+    shared = [rng.choice("abcdefghij").encode() for _ in range(width + 20)]
+    for _ in range(60):
+        words = [rng.choice("abcdefghij").encode() for _ in range(30)] + shared[rng.randrange(20) :] + [rng.choice("abcdefghij").encode() for _ in range(30)]
+        h = hashed(words)
+        for a, n, _ in zip(*(x.tolist() for x in sd.segments(h, width, gram))):
+            made = sd.parts(h[a : a + n + width - 1], width, gram, size)
+            assert [i for low, windows, *_ in made for i in range(low, low + windows)] == list(range(n)) and len(made) <= -(-(width - gram + 1) // size)
+            for low, windows, block, *_ in made:
+                for i in range(a + low, a + low + windows):
+                    assert blocks.setdefault(tuple(words[i : i + width]), block) == block
+
+
+@pytest.mark.parametrize("block_rows", [1, 3, 256])
+def test_near_copies_in_heavy_blocks(spark, block_rows):
+    """Several levels of parts: copies with changed words, parts that a document has twice, rows that repeat a doc_id."""
+    rng = random.Random(12)
+    plain = lambda n: [rng.choice("abcdefghij") for _ in range(n)]
+    base, rows = plain(90), []
+    for i in range(60):
+        words = [w if rng.random() > 0.03 else rng.choice("xyz") for w in base]
+        rows.append((rng.randrange(50), " ".join(plain(rng.randrange(9)) + words + (words[20:60] if i % 7 == 0 else []) + plain(rng.randrange(9)))))
+    check(spark, rows, width=20, gram=3, block_rows=block_rows)
+
+
+def test_a_common_line_makes_few_rows(spark, monkeypatch):
+    """Documents that share a line and nothing else: the classes of its block are cut into a few parts, not into their windows."""
+    made, real = Counter(), sd.staged
+
+    def counted(df, name="table"):
+        out = real(df, name)
+        made[name] += out.count()
+        return out
+
+    monkeypatch.setattr(sd, "staged", counted)
+    rng = random.Random(3)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    line = plain(30)
+    out = check(spark, [(i, f"{plain(60)} {line} {plain(60)}") for i in range(80)], width=50, block_rows=8)
+    assert sum(r["n_removed"] for r in out) == 0 and made["words"] >= 80
+    assert sum(n for name, n in made.items() if name not in ("segments", "classes", "copied", "blocks", "words", "spans")) <= 12 * made["words"]
+    assert max(n for name, n in made.items() if name not in ("segments", "classes")) <= (sd.PARTS + 1) * made["words"]
+
+
 def test_no_rows_and_bad_anchor(spark):
     assert sd.substring_dedup(docs_of(spark, [])).count() == 0
     assert [tuple(r) for r in sd.substring_dedup(docs_of(spark, [(None, None)])).collect()] == [(None, 0, 0, "")]
