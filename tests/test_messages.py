@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 from datetime import datetime
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,20 @@ def test_merge_candidates_make_no_exchange_of_pairs(spark):
     assert "Join" in plan and "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_merge_candidates_are_stored_in_a_fraction_of_a_byte(spark, tmp_path):
+    """A name of 1,203 contacts in blocks of 200, ids in another order than addresses: every pair once, and Parquet holds it in less than a byte."""
+    address, n = F.concat(F.lit("u"), F.col("id"), F.lit("@d.example")), 1203
+    more = {"contact_id": F.md5("address"), "name": F.lit(None).cast("string"), "name_variants": F.array(F.lit("One Name")), "is_user": F.lit(False), "first_seen": F.lit(None).cast("timestamp"), "last_seen": F.lit(None).cast("timestamp")}
+    book = spark.range(n).select(address.alias("address"), (F.col("id") * 7919 % 13 + 2).alias("messages_from"), F.lit(0).cast("long").alias("messages_to")).withColumns(more)
+    out = contacts.merge_candidates(book, block=200)
+    path, size = str(tmp_path / "pairs"), sum(i * 7919 % 13 + 2 for i in range(n)) * (n - 1)
+    out.select(F.least("address_a", "address_b").alias("address_a"), F.greatest("address_a", "address_b").alias("address_b"), "name_key", "volume").write.parquet(path)
+    right = (F.col("id_a") < F.col("id_b")) & (F.col("id_a") == F.md5("address_a")) & (F.col("id_b") == F.md5("address_b")) & (F.col("name_key") == "onename")
+    got = out.agg(F.count(F.lit(1)), F.countDistinct("id_a", "id_b"), F.count_if(right), F.sum("volume")).first()
+    assert tuple(got) == (n * (n - 1) // 2, n * (n - 1) // 2, n * (n - 1) // 2, size)
+    assert sum(f.stat().st_size for f in Path(path).glob("*.parquet")) < n * (n - 1) // 2
+
+
 def test_resolve_substrings_deals_asked_pieces_only(spark):
     """Names against all contacts, and pieces that no name is looked up by are left out before the join."""
     known = {f"c{i}": f"Customer#{i:04d}" for i in range(60)}
